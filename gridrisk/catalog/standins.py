@@ -50,13 +50,13 @@ HOURLY = (
 DAILY_FROM = "lineitem"
 DAILY_KEYS = ("l_suppkey % 8 AS era5_id", "CAST(l_shipdate AS DATE) AS date")
 DAILY_VALUES = (
-    "round(avg(l_extendedprice) / 25e2, 4) AS temp_mean",
-    "round(avg(l_tax) * 12e2, 4) AS rh_mean",
+    "sum(CAST(round(l_extendedprice * 1e2) AS BIGINT)) / (count(*) * 250000) AS temp_mean",
+    "sum(CAST(round(l_tax * 1e2) AS BIGINT)) * 12 / count(*) AS rh_mean",
     "CAST(greatest(sum(l_quantity) - 6e1, 0e0) AS DOUBLE) AS precip_sum",
-    "round(avg(l_quantity) / 1e1, 4) AS wind_speed_mean",
-    "round(max(l_quantity) / 8e0, 4) AS wind_speed_max",
-    "round(min(l_extendedprice) / 25e2, 4) AS temp_min",
-    "round(max(l_extendedprice) / 25e2, 4) AS temp_max",
+    "sum(CAST(l_quantity AS BIGINT)) / (count(*) * 10) AS wind_speed_mean",
+    "max(l_quantity) / 8e0 AS wind_speed_max",
+    "min(l_extendedprice) / 25e2 AS temp_min",
+    "max(l_extendedprice) / 25e2 AS temp_max",
     "count(*) AS n_rows",
 )
 
@@ -114,7 +114,7 @@ def select(columns, source: str) -> str:
 
 
 def grouped(keys, values, source: str) -> str:
-    names = ", ".join(key.split(" AS ")[0] for key in keys)
+    names = ", ".join(key.rsplit(" AS ", 1)[0] for key in keys)
     return f"SELECT {', '.join((*keys, *values))} FROM {source} GROUP BY {names}"
 
 

@@ -329,11 +329,11 @@ def fire_weather_codes(t: Tables):
 @query(
     "f13_day_over_day",
     f"WITH {WITH_DAILY} SELECT era5_id, date, round(temp_mean - lag(temp_mean) OVER (PARTITION BY era5_id ORDER BY "
-    "date), 6) + 0e0 AS temp_change FROM daily",
+    "date), 9) + 0e0 AS temp_change FROM daily",
 )
 def day_over_day(t: Tables):
     return t.daily().select(
         "era5_id",
         "date",
-        (F.round(w.change(CELL, "date", "temp_mean"), 6) + F.lit(0.0)).alias("temp_change"),
+        (F.round(w.change(CELL, "date", "temp_mean"), 9) + F.lit(0.0)).alias("temp_change"),
     )

@@ -25,7 +25,7 @@ def label_components(
     Neighbours meet through an equi-join on the 26 places around a row. Every round takes the
     lowest label among the neighbours and then the label of that label, so labels halve their
     distance to the smallest and the rounds grow with the logarithm of a component's length.
-    Labels are the smallest row id of the component; each round is a reliable checkpoint.
+    Labels are the smallest place of the component; each round goes to a written table.
     """
     # one id per place; the same place makes the same id on every run
     place = F.struct(

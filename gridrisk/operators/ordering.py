@@ -1,19 +1,23 @@
 """Order statistics that never put a whole group into one task.
 
-A window without a partition, or over one hot group, sorts everything in a single task. Here the
-distinct values of a group are cut into slices by value, ordered inside their slice, and joined
-with the running totals of the slices before. The cut values are a sample picked by the hash of
-the value itself, so a task that is run again cuts in the same places.
+A window without a partition, or over one hot group, sorts everything in a single task. The input
+is collapsed to one row per value first and written out once. While every group stays under
+`SLICE_ROWS` values a plain window does; beyond that the values of a group are cut into slices by
+value, ordered inside their slice, and joined with the running totals of the slices before. The
+cut values are a sample picked by the hash of the value itself, so a task that is run again cuts
+in the same places.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# a group with fewer distinct values than this is ordered in one piece
+from gridrisk.session import cut_lineage
+
+# a group with fewer values than this is ordered in one piece
 SLICE_ROWS = 1_000_000
 # expected number of slices of a larger group; the array of cuts stays this small
 SLICES = 256
@@ -26,16 +30,15 @@ def _by(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn(ALL, F.lit(0)), [ALL])
 
 
-def distinct_sums(
-    df: DataFrame, by: Sequence[str], order: str, sums: Mapping[str, Column]
-) -> DataFrame:
-    """One row per group and value with summed columns; ties combine before the shuffle."""
-    return df.groupBy(*by, order).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group: one number, from counts combined before the shuffle."""
+    if not by:
+        return df.count()
+    top = df.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0]
+    return int(top or 0)
 
 
-def slice_values(
-    df: DataFrame, by: Sequence[str], order: str, slice_rows: int = SLICE_ROWS
-) -> DataFrame:
+def slice_values(df: DataFrame, by: Sequence[str], order: str, slice_rows: int) -> DataFrame:
     """Add `_slice`, rising with `order` inside each group; 0 everywhere in a small group.
 
     `df` holds one row per group and value.
@@ -70,7 +73,27 @@ def running_sums(
     `df` holds one row per group and value of `order`. With `with_next`, also `_next`, the value
     that follows in the group.
     """
-    keyed, keys = _by(df, by)
+    staged = cut_lineage(df, "ordered")
+    keyed, keys = _by(staged, by)
+    if largest_group(staged, by) <= slice_rows:
+        out = _running_whole(keyed, keys, order, sums, with_next)
+    else:
+        out = _running_sliced(keyed, keys, order, sums, slice_rows, with_next)
+    return out if by else out.drop(ALL)
+
+
+def _running_whole(keyed, keys, order, sums, with_next):
+    group = Window.partitionBy(*keys).orderBy(order)
+    upto = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    through = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    columns = {f"cum_{c}": F.sum(c).over(upto) for c in sums}
+    columns |= {f"total_{c}": F.sum(c).over(through) for c in sums}
+    if with_next:
+        columns["_next"] = F.lead(order).over(group)
+    return keyed.withColumns(columns)
+
+
+def _running_sliced(keyed, keys, order, sums, slice_rows, with_next):
     sliced = slice_values(keyed, keys, order, slice_rows)
     inside = Window.partitionBy(*keys, "_slice").orderBy(order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -97,20 +120,22 @@ def running_sums(
     if with_next:
         out = out.withColumn("_next", F.coalesce("_next", "_after"))
     spent = ["_slice", "_after", *(f"_in_{c}" for c in sums), *(f"_off_{c}" for c in sums)]
-    return out.drop(*spent, *([] if by else [ALL]))
+    return out.drop(*spent)
 
 
 def running_max(
     df: DataFrame, by: Sequence[str], order: str, value: str, out: str, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Highest value up to each row, in the same slices."""
-    keyed, keys = _by(df, by)
+    staged = cut_lineage(df, "ordered")
+    keyed, keys = _by(staged, by)
+    rows = (Window.unboundedPreceding, Window.currentRow)
+    if largest_group(staged, by) <= slice_rows:
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(*rows)
+        topped = keyed.withColumn(out, F.max(value).over(whole))
+        return topped if by else topped.drop(ALL)
     sliced = slice_values(keyed, keys, order, slice_rows)
-    upto = (
-        Window.partitionBy(*keys, "_slice")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    upto = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(*rows)
     before = (
         Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -132,10 +157,22 @@ def percentile_rank(
 ) -> DataFrame:
     """Share of the group at or below the row's value, ties sharing their mean rank.
 
-    NULL values get no rank and do not count.
+    NULL values get no rank and do not count. Small groups are ranked by one window; with a large
+    one, distinct values are ranked in slices and joined back.
     """
-    ranked = df.where(F.col(value).isNotNull())
-    counts = ranked.groupBy(*by, value).agg(F.count("*").alias("_ties"))
+    if largest_group(df, by) <= slice_rows:
+        keyed, keys = _by(df, by)
+        group = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(value))
+        ties = F.count(value).over(group.rangeBetween(Window.currentRow, Window.currentRow))
+        known = F.count(value).over(
+            group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        )
+        share = (F.rank().over(group) + (ties - 1) / 2.0) / known
+        ranked = keyed.withColumn(out, F.when(F.col(value).isNotNull(), share))
+        return ranked.select(*df.columns, out)
+    counts = (
+        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_ties"))
+    )
     placed = running_sums(counts, by, value, ["_ties"], slice_rows)
     share = (F.col("cum__ties") - F.col("_ties") + (F.col("_ties") + 1) / 2.0) / F.col(
         "total__ties"

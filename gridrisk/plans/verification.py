@@ -37,3 +37,65 @@ def temporal_percentile(
     )
     share = (F.col("below") + (F.col("ties") + 1) / 2.0) / F.col("window_days")
     return counted.select(event, "window_days", share.alias("temporal_percentile"))
+
+
+def verify_events(
+    events: DataFrame, scored: DataFrame, raw: str = "raw", thresholds: Sequence[float] = (0.9, 0.99)
+) -> DataFrame:
+    """Within-day percentiles of the events' cells, summed up per season and overall.
+
+    Every day is ranked in the same job; the events are then a plain join.
+    """
+    from gridrisk.functions.calendar import season
+    from gridrisk.operators.reports import percentile_summary
+
+    days = scored.join(events.select("date").distinct(), "date", "left_semi")
+    ranked = percentile_rank(days, ["date"], raw, "percentile")
+    found = events.join(ranked, ["cell_id", "date"]).withColumn("season", season(F.month("date")))
+    return percentile_summary(found, "season", "percentile", thresholds)
+
+
+def history_baseline(density: DataFrame, value: str, out: str = "baseline") -> DataFrame:
+    """Percentile of each cell's event density over the whole grid."""
+    return percentile_rank(density, (), value, out)
+
+
+def score_cases(
+    cases: DataFrame,
+    ranked: DataFrame,
+    temporal: DataFrame,
+    baseline: DataFrame,
+    near: DataFrame,
+    classes: Column,
+    case: str = "case_id",
+) -> DataFrame:
+    """Every measure of a case: its cell's percentile, the best in reach, class, return period.
+
+    `ranked` carries (cell_id, date, probability, percentile); `near` is (case, cell_id), the
+    cells within the case's uncertainty.
+    """
+    from gridrisk.functions.physics import return_period_years
+
+    around = (
+        near.join(cases.select(case, "date"), case)
+        .join(ranked.select("cell_id", "date", "percentile"), ["cell_id", "date"])
+        .groupBy(case)
+        .agg(F.max("percentile").alias("percentile_max"), F.count("*").alias("cells_in_radius"))
+    )
+    past = (
+        near.join(baseline.select("cell_id", "baseline"), "cell_id")
+        .groupBy(case)
+        .agg(F.max("baseline").alias("baseline_max"))
+    )
+    own = cases.join(ranked, ["cell_id", "date"]).withColumns(
+        {
+            "danger_class": classes,
+            "return_period_years": return_period_years(F.col("probability")),
+        }
+    )
+    return (
+        own.join(around, case, "left")
+        .join(baseline, "cell_id", "left")
+        .join(past, case, "left")
+        .join(temporal, case, "left")
+    )

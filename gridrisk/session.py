@@ -51,10 +51,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: the rows survive the loss of the executors that made them."""
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write the rows to the shared folder and go on from there.
+
+    They survive the loss of the executors that made them, are computed once, and come back with
+    a known size, so the joins that follow can tell a small side from a large one.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -79,40 +79,75 @@ def bounds(sides: Column) -> dict[str, Column]:
     }
 
 
-def interior_point(sides: Column) -> tuple[Column, Column, Column]:
-    """A point inside and how it was found: the centroid, or the widest span half way up.
+def with_interior_point(polygons: DataFrame, sides: str = "sides") -> DataFrame:
+    """Add x, y and method: the centroid where it lies inside, else a point of the widest span.
 
-    The half-way line is moved off any vertex lying on it, to the middle between it and the
-    nearest vertex above.
+    The span is taken half way up, off any vertex lying there: half way then to the next vertex
+    above. Each step is its own column, so that no expression is repeated inside another.
     """
-    box = bounds(sides)
-    middle = (box["miny"] + box["maxy"]) / 2.0
-    above = F.array_min(
-        F.filter(F.transform(sides, lambda e: e["y1"]), lambda v: v > middle)
+    e = F.col(sides)
+    ox, oy = F.get(e, F.lit(0))["x1"], F.get(e, F.lit(0))["y1"]
+    local = F.transform(
+        e,
+        lambda s: F.struct(
+            (s["x1"] - F.col("_ox")).alias("a"),
+            (s["y1"] - F.col("_oy")).alias("b"),
+            (s["x2"] - F.col("_ox")).alias("c"),
+            (s["y2"] - F.col("_oy")).alias("d"),
+        ),
     )
-    on_vertex = F.exists(sides, lambda e: e["y1"] == middle)
-    level = F.when(on_vertex, (middle + above) / 2.0).otherwise(middle)
-    cuts = F.array_sort(
-        F.transform(
-            F.filter(sides, lambda e: (e["y1"] > level) != (e["y2"] > level)),
-            lambda e: e["x1"] + (e["x2"] - e["x1"]) * (level - e["y1"]) / (e["y2"] - e["y1"]),
-        )
+    step = polygons.withColumns({"_ox": ox, "_oy": oy}).withColumn("_local", local)
+    step = step.withColumns(
+        {
+            "_twice": _fold(F.col("_local"), lambda s: s["a"] * s["d"] - s["c"] * s["b"]),
+            "_mx": _fold(
+                F.col("_local"), lambda s: (s["a"] + s["c"]) * (s["a"] * s["d"] - s["c"] * s["b"])
+            ),
+            "_my": _fold(
+                F.col("_local"), lambda s: (s["b"] + s["d"]) * (s["a"] * s["d"] - s["c"] * s["b"])
+            ),
+            "_ys": F.transform(e, lambda s: s["y1"]),
+        }
     )
+    step = step.withColumns(
+        {
+            "_cx": F.col("_ox") + F.try_divide(F.col("_mx"), F.col("_twice") * 3.0),
+            "_cy": F.col("_oy") + F.try_divide(F.col("_my"), F.col("_twice") * 3.0),
+            "_mid": (F.array_min("_ys") + F.array_max("_ys")) / 2.0,
+        }
+    )
+    step = step.withColumns(
+        {
+            "_inside": contains(e, F.col("_cx"), F.col("_cy")),
+            "_above": F.array_min(F.filter("_ys", lambda v: v > F.col("_mid"))),
+            "_on": F.array_contains("_ys", F.col("_mid")),
+        }
+    )
+    step = step.withColumn(
+        "_level",
+        F.when(F.col("_on"), (F.col("_mid") + F.col("_above")) / 2.0).otherwise(F.col("_mid")),
+    )
+    level = F.col("_level")
+    crossing = F.filter(e, lambda s: (s["y1"] > level) != (s["y2"] > level))
+    step = step.withColumn("_crossing", crossing)
+    at = lambda s: s["x1"] + (s["x2"] - s["x1"]) * (level - s["y1"]) / (s["y2"] - s["y1"])
+    step = step.withColumn("_cuts", F.array_sort(F.transform("_crossing", at)))
+    cuts = F.col("_cuts")
     spans = F.transform(
         F.sequence(F.lit(0), F.greatest(F.floor(F.size(cuts) / 2).cast("int") - 1, F.lit(0))),
         lambda i: F.struct(
             (F.get(cuts, i * 2 + 1) - F.get(cuts, i * 2)).alias("width"),
-            (-(F.get(cuts, i * 2))).alias("west"),
+            (-F.get(cuts, i * 2)).alias("west"),
             ((F.get(cuts, i * 2) + F.get(cuts, i * 2 + 1)) / 2.0).alias("x"),
         ),
     )
-    widest = F.array_max(spans)
-    cx, cy = centroid(sides)
-    inside = contains(sides, cx, cy)
-    return (
-        F.when(inside, cx).otherwise(widest["x"]),
-        F.when(inside, cy).otherwise(level),
-        F.when(inside, F.lit("centroid")).otherwise(F.lit("representative_point")),
+    step = step.withColumn("_widest", F.array_max(spans))
+    inside = F.col("_inside")
+    return step.select(
+        *polygons.columns,
+        F.when(inside, F.col("_cx")).otherwise(F.col("_widest.x")).alias("x"),
+        F.when(inside, F.col("_cy")).otherwise(level).alias("y"),
+        F.when(inside, F.lit("centroid")).otherwise(F.lit("representative_point")).alias("method"),
     )
 
 

@@ -168,14 +168,13 @@ def points_in_polygons(
 
 def ignition_points(polygons: DataFrame, sides: str = "sides") -> DataFrame:
     """One point inside each polygon and how it was found; outside its polygon the job fails."""
-    x, y, method = geo.interior_point(F.col(sides))
-    found = polygons.select("geom_id", sides, x.alias("x"), y.alias("y"), method.alias("method"))
+    found = geo.with_interior_point(polygons.select("geom_id", sides), sides)
     inside = geo.contains(F.col(sides), F.col("x"), F.col("y"))
-    return found.where(
-        F.when(inside, F.lit(True)).otherwise(
-            F.raise_error(F.lit("an ignition point fell outside its polygon")).cast("boolean")
-        )
-    ).drop(sides)
+    checked = F.when(inside, F.col("method")).otherwise(
+        F.raise_error(F.lit("an ignition point fell outside its polygon")).cast("string")
+    )
+    # checked in the projection: a filter would be pushed below every step it is made of
+    return found.select("geom_id", "x", "y", checked.alias("method"))
 
 
 def split_segments(segments: DataFrame, longest: float) -> DataFrame:

@@ -17,6 +17,7 @@ from gridrisk.catalog.standins import (
 )
 from gridrisk.functions import geometry as geo
 from gridrisk.operators import events as ev
+from gridrisk.operators.ordering import running_sums
 from gridrisk.operators.ranking import labelled_union
 from gridrisk.session import fresh_path
 from gridrisk.sources import features as ft
@@ -139,15 +140,11 @@ TRACKS_SQL = (
 
 def _track_rows(t: Tables):
     """Lineitem of a supplier in order, cut into runs of thirty; the last short run is dropped."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("l_suppkey").orderBy(
-        "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey"
-    )
-    numbered = t.lineitem.withColumn("n", F.row_number().over(order) - 1)
-    cut = numbered.withColumns(
-        {"sample": F.floor(F.col("n") / 30), "step": F.col("n") % 30}
-    )
+    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
+    keyed = t.lineitem.withColumns({"_order": order, "_one": F.lit(1).cast("bigint")})
+    numbered = running_sums(keyed, ["l_suppkey"], "_order", ["_one"])
+    place = F.col("cum__one") - 1
+    cut = numbered.withColumns({"sample": F.floor(place / 30), "step": place % 30})
     whole = cut.groupBy("l_suppkey", "sample").agg(F.count("*").alias("_c")).where("_c = 30")
     return cut.join(whole.drop("_c"), ["l_suppkey", "sample"], "left_semi")
 
@@ -198,7 +195,9 @@ def hourly_payload(t: Tables):
             )
         )
     )
-    packed = t.events.groupBy("user_id").agg(hours.alias("h"))
+    # a payload holds at most the hundred events of one block of ids
+    block = F.floor(F.col("event_id") / 100)
+    packed = t.events.groupBy("user_id", block).agg(hours.alias("h"))
     payload = F.to_json(
         F.struct(
             F.lit(46.0).alias("latitude"),
@@ -339,7 +338,7 @@ CATEGORIES = {
     "CASE WHEN feature = 'N' THEN 'double' ELSE 'float' END AS dtype, feature = 'R' AS nullable FROM u",
 )
 def registry(t: Tables):
-    flags = sorted(r[0] for r in t.lineitem.select("l_returnflag").distinct().limit(1000).collect())
+    flags = sorted(r[0] for r in t.lineitem.select("l_returnflag").distinct().collect())
     categories = {
         "meteo": {
             "temporal": "dynamic",

@@ -1 +1,187 @@
-"""To come."""
+"""Section I with the learners: rows only, since no SQL engine fits the same trees."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridrisk.catalog.registry import query
+from gridrisk.catalog.standins import Tables
+from gridrisk.functions.calendar import period_label
+from gridrisk.functions.physics import recency_weight
+from gridrisk.operators import evaluation as evl
+from gridrisk.operators import models as ml
+from gridrisk.operators.sampling import repeated_draws
+from gridrisk.session import cut_lineage
+
+FEATURES = ("quantity", "price", "discount", "tax", "month")
+QUICK = {"rounds": 3, "depth": 3}
+
+
+def rows(t: Tables, n_folds: int = 2):
+    """Lineitem as a labelled design table with a few missing values and year folds.
+
+    Written once, since every fit reads it again.
+    """
+    price = F.col("l_extendedprice")
+    hit = F.col("l_returnflag") == "R"
+    table = t.lineitem.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
+        F.col("l_suppkey").alias("cell_id"),
+        F.to_date("l_shipdate").alias("date"),
+        F.year("l_shipdate").alias("year"),
+        F.when(F.col("l_orderkey") % 17 > 0, F.col("l_quantity")).alias("quantity"),
+        F.when(hit, price * 1.1).otherwise(price).alias("price"),
+        F.col("l_discount").alias("discount"),
+        F.col("l_tax").alias("tax"),
+        F.month("l_shipdate").cast("double").alias("month"),
+        hit.cast("int").alias("label"),
+    )
+    folds = evl.year_folds(table, "year", n_folds)
+    # one row per year
+    return cut_lineage(table.join(F.broadcast(folds), "year"), "design")
+
+
+SPEC = ml.Spec(FEATURES, params=QUICK)
+
+
+
+@query("i16_cross_validation")
+def cross_validation(t: Tables):
+    held_out = ml.cross_validate(rows(t, 3), SPEC, "fold", 3)
+    return ml.fold_summary(held_out, "label", "fold").select(
+        "fold", "auprc", "auroc", "brier", "positive_rate", "lift"
+    )
+
+
+@query("i16_spatial_cross_validation")
+def spatial_cross_validation(t: Tables):
+    table = rows(t).drop("fold")
+    folds = evl.group_folds(table, "cell_id", 3, 42)
+    held_out = ml.cross_validate(table.join(folds, "cell_id"), SPEC, "fold", 3)
+    return ml.fold_summary(held_out, "label", "fold").select("fold", "auprc", "auroc")
+
+
+@query("i17_boosted_trees")
+def boosted_trees(t: Tables):
+    """Early stopping watches the last training year; the years after it are scored."""
+    table = rows(t)
+    spec = ml.Spec(FEATURES, params={**QUICK, "rounds": 8, "early_stop": 1})
+    model = ml.fit(table.where("year < 2000"), spec, held=F.col("year") == 1999)
+    scored = ml.predict(model, table.where("year >= 2000"), spec)
+    return scored.select("row_id", "date", "label", "raw")
+
+
+@query("i18_baselines")
+def baselines(t: Tables):
+    table = rows(t)
+    specs = {
+        "random_forest": ml.Spec(FEATURES, kind="random_forest", params={"trees": 5, "depth": 4}),
+        "logistic": ml.Spec(FEATURES, kind="logistic", params={"rounds": 10}),
+        "index_only": ml.Spec(("price",), kind="logistic", params={"rounds": 10}),
+    }
+    from gridrisk.operators.ranking import union_all
+
+    return union_all(
+        [
+            evl.scores(
+                ml.fit_holdout(table, spec, F.col("year") < 2000), "label", "raw"
+            ).withColumn("model", F.lit(name))
+            for name, spec in specs.items()
+        ]
+    ).select("model", "auprc", "auroc", "brier", "lift")
+
+
+@query("i19_stacked_score")
+def stacked_score(t: Tables):
+    """A base model of the orders table scores the lines as one more feature."""
+    base_rows = t.orders.select(
+        F.col("o_totalprice").alias("value"),
+        F.month("o_orderdate").cast("double").alias("when"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("base_label"),
+    )
+    base = ml.Spec(("value", "when"), label="base_label", params=QUICK)
+    table = rows(t)
+    columns = {"value": F.col("price"), "when": F.col("month")}
+    stacked = ml.stacked_score(base_rows, base, table, columns, "base_score")
+    spec = ml.Spec((*FEATURES, "base_score"), params=QUICK)
+    held_out = ml.fit_holdout(stacked, spec, F.col("year") < 2000)
+    return evl.scores(held_out, "label", "raw").select("auprc", "auroc", "brier", "lift")
+
+
+@query("i20_search")
+def search(t: Tables):
+    space = {"depth": (2, 3), "step": (0.1, 0.3)}
+    trials = ml.random_trials(space, 2, 5)
+    spec = ml.Spec(FEATURES, params={"rounds": 2})
+    return ml.search(rows(t), spec, trials, "fold", 2).select(
+        "trial", "depth", "step", "auprc", "auroc", "neg_log_loss"
+    )
+
+
+@query("i21_block_ablation")
+def block_ablation(t: Tables):
+    blocks = {"price": ("price",), "rates": ("discount", "tax")}
+    spec = ml.Spec(FEATURES, params={"rounds": 2, "depth": 3})
+    return ml.ablation(rows(t), spec, blocks, "fold", 2)
+
+
+@query("i23_sampling_variants")
+def sampling_variants(t: Tables):
+    """Negatives at one and two per positive beside all of them."""
+    table = rows(t)
+    variants = {"all": table}
+    for ratio in (1, 2):
+        drawn = repeated_draws(table, "label", "row_id", ratio, 1, 9)
+        variants[f"ratio_{ratio}"] = drawn.drop("draw")
+    spec = ml.Spec(FEATURES, params={"rounds": 2, "depth": 3})
+    out = ml.run_variants(variants, spec, "fold", 2)
+    return out.select("variant", "auprc", "auroc", "positive_rate", "lift")
+
+
+@query("i24_retraining_variants")
+def retraining_variants(t: Tables):
+    table = rows(t).withColumn("recency", recency_weight(F.col("year"), 1999, 2.0))
+    specs = {
+        "reference": SPEC,
+        "recency": ml.Spec(FEATURES, params=QUICK, weight="recency"),
+        "no_rates": ml.Spec(("quantity", "price", "month"), params=QUICK),
+    }
+    out = ml.variant_axis(table, specs, F.col("year") < 2000, "reference", "date")
+    return out.withColumn("passes", F.col("median_gap") >= -0.01)
+
+
+PERIODS = ((1995, 1997), (1998, 2001))
+
+
+@query("i25_period_transfer")
+def period_transfer(t: Tables):
+    table = rows(t).withColumn("period", period_label(F.col("year"), PERIODS))
+    folds = evl.group_folds(table, "date", 2, 3)
+    days = table.drop("fold").join(folds, "date")
+    labels = [f"{a}-{b}" for a, b in PERIODS]
+    spec = ml.Spec(FEATURES, params={"rounds": 3, "depth": 3})
+    out = ml.transfer_matrix(days, spec, "period", labels, "fold", 2)
+    return out.select("trained_on", "scored_on", "auprc", "auroc", "lift")
+
+
+@query("i25_forward_scan")
+def forward_scan(t: Tables):
+    spec = ml.Spec(FEATURES, params={"rounds": 3, "depth": 3})
+    out = ml.forward_scan(rows(t), spec, "year", (1995, 1997, 1999), 2000)
+    return out.select("first_year", "auprc", "auroc", "lift")
+
+
+@query("i27_adversarial")
+def adversarial(t: Tables):
+    table = rows(t).drop("fold")
+    spec = ml.Spec(FEATURES, params={"rounds": 3, "depth": 3})
+    quality, importances = ml.adversarial(
+        table, spec, F.col("year") >= 1999, "date", 2, 3
+    )
+    top = importances[0]
+    return quality.select(
+        "auroc",
+        "positive_rate",
+        F.lit(top[0]).alias("top_feature"),
+        F.lit(top[1]).alias("top_importance"),
+    )

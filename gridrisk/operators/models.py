@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridrisk.operators.evaluation import group_folds, log_loss, positive_weight, scores
+from gridrisk.operators.joins import with_scalars
+from gridrisk.operators.ordering import exact_percentiles, percentile_rank
+from gridrisk.operators.ranking import union_all
+
 
 def adapt(
     df: DataFrame, mapping: Mapping[str, Column], order: Sequence[str], keep: Sequence[str] = ()
@@ -43,3 +49,304 @@ def design_matrix(
         F.coalesce(label, F.lit(False)).cast("tinyint").alias("label"),
         year.cast("int").alias("year"),
     )
+
+
+@dataclass(frozen=True)
+class Spec:
+    """What a model is fitted on: columns, label and the learner with its settings."""
+
+    numeric: tuple[str, ...]
+    label: str = "label"
+    kind: str = "boosted_trees"
+    params: Mapping[str, float] = field(default_factory=dict)
+    weight: str | None = None
+
+
+def _boosted_trees(params: Mapping, weight: str | None):
+    from pyspark.ml.classification import GBTClassifier
+
+    watched = {}
+    if params.get("early_stop"):
+        watched = {
+            "validationIndicatorCol": "_held",
+            "validationTol": float(params.get("tolerance", 0.001)),
+        }
+    return GBTClassifier(
+        featuresCol="features",
+        labelCol="_label",
+        weightCol="_weight",
+        maxIter=int(params.get("rounds", 20)),
+        maxDepth=int(params.get("depth", 4)),
+        stepSize=float(params.get("step", 0.1)),
+        subsamplingRate=float(params.get("subsample", 1.0)),
+        seed=int(params.get("seed", 7)),
+        cacheNodeIds=True,
+        **watched,
+    )
+
+
+def _random_forest(params: Mapping, weight: str | None):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    return RandomForestClassifier(
+        featuresCol="features",
+        labelCol="_label",
+        weightCol="_weight",
+        numTrees=int(params.get("trees", 20)),
+        maxDepth=int(params.get("depth", 5)),
+        seed=int(params.get("seed", 7)),
+    )
+
+
+def _logistic(params: Mapping, weight: str | None):
+    from pyspark.ml.classification import LogisticRegression
+
+    return LogisticRegression(
+        featuresCol="scaled",
+        labelCol="_label",
+        weightCol="_weight",
+        maxIter=int(params.get("rounds", 50)),
+        regParam=float(params.get("penalty", 0.0)),
+    )
+
+
+# learners by name; a new one is a function in this table
+LEARNERS: dict[str, Callable] = {
+    "boosted_trees": _boosted_trees,
+    "random_forest": _random_forest,
+    "logistic": _logistic,
+}
+
+
+def prepared(df: DataFrame, spec: Spec, balance: float | None = None) -> DataFrame:
+    """Columns the learners read: float features, missing flags, label and row weight.
+
+    Spark's trees have no branch for a missing value, so the median stands in and a flag says so.
+    """
+    own = F.col(spec.weight) if spec.weight else F.lit(1.0)
+    lift = F.lit(float(balance)) if balance is not None else F.lit(1.0)
+    return df.withColumns(
+        {
+            **{f"_f_{c}": F.col(c).cast("double") for c in spec.numeric},
+            **{f"_m_{c}": F.col(c).isNull().cast("double") for c in spec.numeric},
+            "_label": F.col(spec.label).cast("double"),
+            "_weight": F.when(F.col(spec.label) == 1, own * lift).otherwise(own),
+        }
+    )
+
+
+def fit(df: DataFrame, spec: Spec, balanced: bool = True, held: Column | None = None):
+    """Impute, assemble and learn; `held` marks the rows early stopping watches."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+
+    balance = None
+    if balanced:
+        weight = F.col(spec.weight) if spec.weight else None
+        balance = positive_weight(df, spec.label, weight).first()[0]
+    rows = prepared(df, spec, balance)
+    if held is not None:
+        rows = rows.withColumn("_held", held)
+    inputs = [f"_f_{c}" for c in spec.numeric]
+    filled = [f"_i_{c}" for c in spec.numeric]
+    flags = [f"_m_{c}" for c in spec.numeric]
+    stages = [
+        Imputer(strategy="median", inputCols=inputs, outputCols=filled),
+        VectorAssembler(inputCols=[*filled, *flags], outputCol="features"),
+    ]
+    if spec.kind == "logistic":
+        stages.append(StandardScaler(inputCol="features", outputCol="scaled", withMean=True))
+    stages.append(LEARNERS[spec.kind](spec.params, spec.weight))
+    return Pipeline(stages=stages).fit(rows)
+
+
+def predict(model, df: DataFrame, spec: Spec, out: str = "raw") -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(prepared(df, spec))
+    keep = [c for c in df.columns if c != out]
+    return scored.select(*keep, F.get(vector_to_array("probability"), F.lit(1)).alias(out))
+
+
+def fit_holdout(df: DataFrame, spec: Spec, train: Column) -> DataFrame:
+    """Fit on the training rows and score the rest; an empty or full split is refused."""
+    counts = df.agg(F.count_if(train).alias("a"), F.count_if(~train).alias("b")).first()
+    if not counts["a"] or not counts["b"]:
+        raise ValueError("the split leaves one side empty")
+    return predict(fit(df.where(train), spec), df.where(~train), spec)
+
+
+def cross_validate(
+    df: DataFrame, spec: Spec, fold: str, n_folds: int, train_filter: Column | None = None
+) -> DataFrame:
+    """Out-of-fold scores of every row; each fit is a distributed job, one per fold."""
+    parts = []
+    for k in range(n_folds):
+        learn = df.where(F.col(fold) != k)
+        if train_filter is not None:
+            learn = learn.where(train_filter)
+        parts.append(predict(fit(learn, spec), df.where(F.col(fold) == k), spec))
+    return union_all(parts)
+
+
+def fold_summary(held_out: DataFrame, label: str, fold: str, raw: str = "raw") -> DataFrame:
+    """Scores per fold; the mean over the folds is what trials are ranked on."""
+    return scores(held_out, label, raw, [fold])
+
+
+def stacked_score(
+    base_rows: DataFrame, base: Spec, df: DataFrame, columns: Mapping[str, Column], out: str
+) -> DataFrame:
+    """Score another table with a model of the base table, as one more feature."""
+    model = fit(base_rows, base)
+    adapted = df.withColumns(
+        {**dict(columns), **({} if base.label in df.columns else {base.label: F.lit(0)})}
+    )
+    return predict(model, adapted, base, out)
+
+
+def random_trials(space: Mapping[str, Sequence], n: int, seed: int) -> list[dict]:
+    """n settings drawn at random from lists of values."""
+    import random
+
+    source = random.Random(seed)
+    return [{name: source.choice(list(values)) for name, values in space.items()} for _ in range(n)]
+
+
+def search(
+    df: DataFrame, spec: Spec, trials: Sequence[Mapping], fold: str, n_folds: int
+) -> DataFrame:
+    """Mean AP, AUROC and negative balanced log loss of every trial over the folds."""
+    tables = []
+    for i, params in enumerate(trials):
+        held_out = cross_validate(df, replace(spec, params={**spec.params, **params}), fold, n_folds)
+        by_fold = scores(held_out, spec.label, "raw", [fold])
+        losses = log_loss(held_out, spec.label, "raw", [fold])
+        tables.append(
+            by_fold.join(losses, fold)
+            .agg(
+                F.avg("auprc").alias("auprc"),
+                F.avg("auroc").alias("auroc"),
+                (-F.avg("log_loss")).alias("neg_log_loss"),
+            )
+            .withColumn("trial", F.lit(i))
+            .withColumns({k: F.lit(float(v)) for k, v in params.items()})
+        )
+    return union_all(tables)
+
+
+def on_the_boundary(best: Mapping, space: Mapping[str, Sequence]) -> list[str]:
+    """Settings whose best value is an end of the range searched."""
+    return sorted(n for n, v in space.items() if best[n] in (min(v), max(v)))
+
+
+def ablation(
+    df: DataFrame, spec: Spec, blocks: Mapping[str, Sequence[str]], fold: str, n_folds: int
+) -> DataFrame:
+    """Scores with every block of columns left out in turn, and the change against all of them."""
+    tables = []
+    for name, left_out in {"none": (), **blocks}.items():
+        kept = tuple(c for c in spec.numeric if c not in set(left_out))
+        held_out = cross_validate(df, replace(spec, numeric=kept), fold, n_folds)
+        tables.append(scores(held_out, spec.label, "raw").withColumn("left_out", F.lit(name)))
+    table = union_all(tables).select("left_out", "auprc", "auroc", "brier")
+    full = table.where(F.col("left_out") == "none").agg(
+        F.max("auprc").alias("_ap"), F.max("auroc").alias("_auc")
+    )
+    return with_scalars(table, full).select(
+        "left_out",
+        "auprc",
+        "auroc",
+        "brier",
+        (F.col("auprc") - F.col("_ap")).alias("auprc_delta"),
+        (F.col("auroc") - F.col("_auc")).alias("auroc_delta"),
+    )
+
+
+def run_variants(
+    variants: Mapping[str, DataFrame], spec: Spec, fold: str, n_folds: int
+) -> DataFrame:
+    """The same cross-validation on differently prepared samples, one row per variant."""
+    return union_all(
+        [
+            scores(cross_validate(rows, spec, fold, n_folds), spec.label, "raw").withColumn(
+                "variant", F.lit(name)
+            )
+            for name, rows in variants.items()
+        ]
+    )
+
+
+def variant_axis(
+    df: DataFrame, specs: Mapping[str, Spec], train: Column, reference: str, day: str
+) -> DataFrame:
+    """Every variant fitted on the training rows and read at the later positives.
+
+    Scores are ranked within the day; a variant's row holds its summary and the change of its
+    median against the reference.
+    """
+    tables = []
+    for name, spec in specs.items():
+        ranked = percentile_rank(fit_holdout(df, spec, train), [day], "raw", "percentile")
+        hits = ranked.where(F.col(spec.label) == 1)
+        median = exact_percentiles(hits, (), "percentile", [0.5])
+        plain = hits.agg(
+            F.count("*").alias("events"),
+            F.avg("percentile").alias("mean_percentile"),
+            F.avg((F.col("percentile") >= 0.9).cast("double")).alias("share_90"),
+        )
+        row = with_scalars(plain, median.select(F.col("value").alias("median_percentile")))
+        tables.append(row.withColumn("variant", F.lit(name)))
+    table = union_all(tables)
+    base = table.where(F.col("variant") == reference).agg(
+        F.max("median_percentile").alias("_base")
+    )
+    return with_scalars(table, base).withColumn(
+        "median_gap", F.col("median_percentile") - F.col("_base")
+    ).drop("_base")
+
+
+def transfer_matrix(
+    df: DataFrame, spec: Spec, period: str, periods: Sequence[str], fold: str, n_folds: int
+) -> DataFrame:
+    """AP and AUROC of a model of each period on every period; on its own, out of fold."""
+    tables = []
+    for source in periods:
+        own = df.where(F.col(period) == source)
+        elsewhere = predict(fit(own, spec), df.where(F.col(period) != source), spec)
+        at_home = cross_validate(own, spec, fold, n_folds)
+        both = elsewhere.unionByName(at_home)
+        tables.append(
+            scores(both, spec.label, "raw", [period]).withColumn("trained_on", F.lit(source))
+        )
+    return union_all(tables).withColumnRenamed(period, "scored_on")
+
+
+def forward_scan(df: DataFrame, spec: Spec, year: str, starts: Sequence[int], test: int) -> DataFrame:
+    """Training windows that start later and later, all scored on the years from `test` on."""
+    tables = []
+    later = df.where(F.col(year) >= test)
+    for start in starts:
+        rows = df.where((F.col(year) >= start) & (F.col(year) < test))
+        held_out = predict(fit(rows, spec), later, spec)
+        tables.append(scores(held_out, spec.label, "raw").withColumn("first_year", F.lit(start)))
+    return union_all(tables)
+
+
+def adversarial(
+    df: DataFrame, spec: Spec, after: Column, group: str, n_folds: int, seed: int
+) -> tuple[DataFrame, list[tuple[str, float]]]:
+    """How well the features tell late rows from early ones, with the features' importances.
+
+    Whole groups (days) stay in one fold.
+    """
+    labelled = df.withColumn("_after", after.cast("int"))
+    folds = group_folds(labelled, group, n_folds, seed)
+    rows = labelled.join(folds, group)
+    task = replace(spec, label="_after")
+    held_out = cross_validate(rows, task, "fold", n_folds)
+    model = fit(rows, task)
+    weights = model.stages[-1].featureImportances.toArray()
+    names = [*spec.numeric, *(f"{c}_missing" for c in spec.numeric)]
+    ranked = sorted(zip(names, map(float, weights)), key=lambda p: (-p[1], p[0]))
+    return scores(held_out, "_after", "raw"), ranked

@@ -282,7 +282,7 @@ def sub_points(t: Tables):
 )
 def line_distance(t: Tables):
     lattice = gd.GridSpec(XMIN, YMAX, N_COLS, 1, RES)
-    out = sp.line_distance_stats(t.grid(), lattice, roads(t), 2, 1000.0)
+    out = sp.line_distance_stats(t.grid(), lattice, roads(t), 2, 4000.0)
     return out.select(
         "cell_id", *(F.round(c, 4).alias(c) for c in ("distance_mean", "distance_std"))
     )
@@ -367,10 +367,10 @@ def flanks(t: Tables):
     cells = t.grid().select("cell_id", "x", "y", "elevation")
     lines = roads(t)
     near = sp.nearest_distance(
-        cells, lines.where("ref LIKE '%SS1%'"), 1000.0, ["cell_id"], out="road_m"
+        cells, lines.where("ref LIKE '%SS1%'"), 4000.0, ["cell_id"], out="road_m"
     )
     both = sp.nearest_distance(
-        cells.select("cell_id", "x", "y"), lines, 1000.0, ["cell_id"], out="major_m"
+        cells.select("cell_id", "x", "y"), lines, 4000.0, ["cell_id"], out="major_m"
     ).select("cell_id", "major_m")
     return sp.flanks(near.join(both, "cell_id"), 500.0, 600.0, 3000.0, 150.0)
 
@@ -394,7 +394,7 @@ def built_up_distance(t: Tables):
         F.col("y").alias("y2"),
     )
     out = sp.nearest_distance(
-        cells.select("edition", "cell_id", "x", "y"), built, 1000.0, ["cell_id"], by=["edition"]
+        cells.select("edition", "cell_id", "x", "y"), built, 4000.0, ["cell_id"], by=["edition"]
     )
     return out.select("edition", "cell_id", F.round("distance", 4).alias("built_up_m"))
 

@@ -161,29 +161,27 @@ def _clamp_integral(y: Column, low: Column, high: Column) -> Column:
     )
 
 
-def area_in_box(sides: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Area a polygon shares with an axis-aligned box, by Green's theorem over its edges.
-
-    Each edge adds the signed area under it inside the box; no clipped polygon is built.
+def area_under_edge(
+    ex1: Column, ey1: Column, ex2: Column, ey2: Column,
+    x0: Column, y0: Column, x1: Column, y1: Column,
+) -> Column:
+    """Signed area under one edge inside a box; over all edges of a polygon, by Green's theorem,
+    the absolute sum is the area the polygon shares with the box. No clipped polygon is built.
     """
-
-    def under(e):
-        left = F.greatest(F.least(e["x1"], e["x2"]), x0)
-        right = F.least(F.greatest(e["x1"], e["x2"]), x1)
-        slope = F.try_divide(e["y2"] - e["y1"], e["x2"] - e["x1"])
-        ya = e["y1"] + slope * (left - e["x1"])
-        yb = e["y1"] + slope * (right - e["x1"])
-        flat = F.least(F.greatest((ya + yb) / 2.0, y0), y1) - y0
-        # the exact integral divides by the slope; on a nearly level edge the mid value is exact
-        steep = F.abs(yb - ya) > (y1 - y0) * 1e-9
-        swept = F.when(
-            steep,
-            F.try_divide(_clamp_integral(yb, y0, y1) - _clamp_integral(ya, y0, y1), slope),
-        ).otherwise(flat * (right - left))
-        sign = F.when(e["x2"] > e["x1"], F.lit(-1.0)).otherwise(F.lit(1.0))
-        return F.when((e["x1"] != e["x2"]) & (right > left), sign * swept).otherwise(F.lit(0.0))
-
-    return F.abs(_fold(sides, under))
+    left = F.greatest(F.least(ex1, ex2), x0)
+    right = F.least(F.greatest(ex1, ex2), x1)
+    slope = F.try_divide(ey2 - ey1, ex2 - ex1)
+    ya = ey1 + slope * (left - ex1)
+    yb = ey1 + slope * (right - ex1)
+    flat = F.least(F.greatest((ya + yb) / 2.0, y0), y1) - y0
+    # the exact integral divides by the slope; on a nearly level edge the mid value is exact
+    steep = F.abs(yb - ya) > (y1 - y0) * 1e-9
+    swept = F.when(
+        steep,
+        F.try_divide(_clamp_integral(yb, y0, y1) - _clamp_integral(ya, y0, y1), slope),
+    ).otherwise(flat * (right - left))
+    sign = F.when(ex2 > ex1, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return F.when((ex1 != ex2) & (right > left), sign * swept).otherwise(F.lit(0.0))
 
 
 def point_segment_distance(

@@ -40,9 +40,12 @@ def _candidates(polygons: DataFrame, spec: GridSpec, sides: str, margin: float)
             "_r1": held(spec.row_of(box["miny"] - pad), spec.n_rows - 1),
         }
     )
+    # a stated number of partitions: adaptive execution would merge them by their present size,
+    # before the cells are listed
+    tasks = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     banded = framed.withColumn(
         "_band", F.explode(F.sequence(F.col("_r0"), F.col("_r1"), F.lit(BAND_ROWS)))
-    ).repartition("geom_id", "_band")
+    ).repartition(tasks, "geom_id", "_band")
     last = F.least(F.col("_band") + BAND_ROWS - 1, F.col("_r1"))
     rows = banded.withColumn("_row", F.explode(F.sequence(F.col("_band"), last)))
     return rows.withColumn("_col", F.explode(F.sequence("_c0", "_c1"))).withColumn(
@@ -50,6 +53,21 @@ def _candidates(polygons: DataFrame, spec: GridSpec, sides: str, margin: float)
     )
 
 
+def _edge_cells(listed: DataFrame, sides: str) -> DataFrame:
+    """One row per candidate cell and edge; what follows stays in generated code."""
+    return listed.select("geom_id", "_band", "_row", "_col", "cell_id", F.inline(sides))
+
+
+def _shared_area(spec: GridSpec) -> Column:
+    box = spec.box(F.col("_col"), F.col("_row"))
+    ends = (F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    return F.abs(F.sum(geo.area_under_edge(*ends, *box)))
+
+
+# grouping by the keys the rows were dealt out by adds no shuffle
+CELL_KEYS = ("geom_id", "_band", "_row", "_col", "cell_id")
+
+
 def polygon_cells(
     polygons: DataFrame, spec: GridSpec, sides: str = "sides", tolerance: float = 1e-9
 ) -> DataFrame:
@@ -57,24 +75,24 @@ def polygon_cells(
 
     Touching an edge is not overlapping.
     """
-    listed = _candidates(polygons, spec, sides, 0.0)
-    area = geo.area_in_box(F.col(sides), *spec.box(F.col("_col"), F.col("_row")))
+    rows = _edge_cells(_candidates(polygons, spec, sides, 0.0), sides)
     return (
-        listed.withColumn("area", area)
+        rows.groupBy(*CELL_KEYS)
+        .agg(_shared_area(spec).alias("area"))
         .where(F.col("area") > tolerance * spec.resolution**2)
         .select("geom_id", "cell_id", "area")
     )
 
 
-def _segment_box_distance(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Distance of a segment to a box it does not enter: a corner or an end is nearest."""
+def _edge_box_distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Distance of an edge to a box it does not enter: a corner or an end is nearest."""
     corners = [
-        geo.point_segment_distance(x, y, e["x1"], e["y1"], e["x2"], e["y2"])
+        geo.point_segment_distance(x, y, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
         for x in (x0, x1)
         for y in (y0, y1)
     ]
     ends = []
-    for px, py in ((e["x1"], e["y1"]), (e["x2"], e["y2"])):
+    for px, py in ((F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))):
         dx = F.greatest(x0 - px, F.lit(0.0), px - x1)
         dy = F.greatest(y0 - py, F.lit(0.0), py - y1)
         ends.append(F.hypot(dx, dy))
@@ -89,12 +107,17 @@ def buffered_cells(
     The grown polygon is never built: a cell overlaps it when it overlaps the polygon or lies
     nearer than the radius.
     """
-    listed = _candidates(polygons, spec, sides, radius)
-    box = spec.box(F.col("_col"), F.col("_row"))
-    inside = geo.area_in_box(F.col(sides), *box) > 1e-9 * spec.resolution**2
-    gap = F.array_min(F.transform(sides, lambda e: _segment_box_distance(e, *box)))
-    near = gap < F.lit(float(radius)) * (1 - 1e-12)
-    return listed.where(inside | near).select("geom_id", "cell_id")
+    rows = _edge_cells(_candidates(polygons, spec, sides, radius), sides)
+    gap = _edge_box_distance(*spec.box(F.col("_col"), F.col("_row")))
+    return (
+        rows.groupBy(*CELL_KEYS)
+        .agg(_shared_area(spec).alias("_area"), F.min(gap).alias("_gap"))
+        .where(
+            (F.col("_area") > 1e-9 * spec.resolution**2)
+            | (F.col("_gap") < radius * (1 - 1e-12))
+        )
+        .select("geom_id", "cell_id")
+    )
 
 
 def area_shares(

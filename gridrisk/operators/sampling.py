@@ -16,6 +16,7 @@ from gridrisk.functions.hashing import draw_key
 from gridrisk.operators.joins import with_scalars
 from gridrisk.operators.ordering import row_ids
 from gridrisk.operators.ranking import keep_first
+from gridrisk.session import cut_lineage
 
 
 def cell_positions(cells: DataFrame, cell: str = "cell_id") -> DataFrame:
@@ -86,17 +87,26 @@ def sample_negatives(
 ) -> DataFrame:
     """n cell-days drawn uniformly from the active cells x days less the exclusions.
 
-    Asking for more than there are is refused.
+    Asking for more than there are is refused; falling short draws further.
     """
-    positions = cell_positions(cells, cell)
-    n_cells = positions.count()
-    blocked = flat_exclusions(positions, exclusions, first, n_days, cell)
-    total = n_cells * n_days
-    available = total - blocked.count()
-    attempts = attempts_needed(n, available, total)
-    drawn = _draws(cells.sparkSession, attempts, seed, F.lit(total))
-    accepted = _accept(drawn, blocked, n)
-    return _to_cell_days(accepted, positions, first, n_days, cell)
+    positions = cut_lineage(cell_positions(cells, cell), "positions")
+    total = positions.count() * n_days
+    blocked = cut_lineage(flat_exclusions(positions, exclusions, first, n_days, cell), "blocked")
+    attempts = attempts_needed(n, total - blocked.count(), total)
+
+    def draw(tries: int) -> DataFrame:
+        return _draws(cells.sparkSession, tries, seed, F.lit(total))
+
+    return _to_cell_days(_until(draw, blocked, n, attempts), positions, first, n_days, cell)
+
+
+def _until(draw, blocked: DataFrame, n: int, attempts: int) -> DataFrame:
+    """The first n accepted draws; more are drawn until there are n, earlier ones kept."""
+    while True:
+        accepted = cut_lineage(_accept(draw(attempts), blocked, n), "drawn")
+        if accepted.count() >= n:
+            return accepted
+        attempts *= 2
 
 
 def _to_cell_days(
@@ -121,25 +131,32 @@ def matched_negatives(
     oversample: int = 4,
 ) -> DataFrame:
     """n other days at the cells of the positives, each positive row as likely as any other."""
-    positions = cell_positions(cells, cell)
-    rows = row_ids(
-        positives.join(cells.select(cell), cell, "left_semi").select(cell, "date"),
-        [F.col(cell), F.col("date")],
-        "row",
-    )
+    positions = cut_lineage(cell_positions(cells, cell), "positions")
+    known = positives.join(cells.select(cell), cell, "left_semi").select(cell, "date")
+    rows = cut_lineage(row_ids(known, [F.col(cell), F.col("date")], "row"), "rows")
     n_rows = rows.count()
-    blocked = flat_exclusions(positions, exclusions, first, n_days, cell)
-    drawn = cells.sparkSession.range(n * oversample + 256).select(
-        F.col("id").alias("attempt"),
-        F.pmod(draw_key(f"{seed}-row", F.col("id")), F.lit(n_rows)).alias("row"),
-        F.pmod(draw_key(f"{seed}-day", F.col("id")), F.lit(n_days)).alias("offset"),
+    blocked = cut_lineage(flat_exclusions(positions, exclusions, first, n_days, cell), "blocked")
+    places = rows.select(cell).distinct().join(positions, cell).select("position")
+    gone = blocked.withColumn("position", F.floor(F.col("flat") / n_days)).join(
+        places, "position", "left_semi"
     )
-    placed = (
-        drawn.join(rows.select("row", cell), "row")
-        .join(positions, cell)
-        .select("attempt", (F.col("position") * n_days + F.col("offset")).alias("flat"))
-    )
-    return _to_cell_days(_accept(placed, blocked, n), positions, first, n_days, cell)
+    available = places.count() * n_days - gone.count()
+    if n > available:
+        raise ValueError(f"asked for {n} rows, only {available} cell-days are available")
+
+    def draw(tries: int) -> DataFrame:
+        drawn = cells.sparkSession.range(tries).select(
+            F.col("id").alias("attempt"),
+            F.pmod(draw_key(f"{seed}-row", F.col("id")), F.lit(n_rows)).alias("row"),
+            F.pmod(draw_key(f"{seed}-day", F.col("id")), F.lit(n_days)).alias("offset"),
+        )
+        placed = drawn.join(rows.select("row", cell), "row").join(positions, cell)
+        return placed.select(
+            "attempt", (F.col("position") * n_days + F.col("offset")).alias("flat")
+        )
+
+    accepted = _until(draw, blocked, n, n * oversample + 256)
+    return _to_cell_days(accepted, positions, first, n_days, cell)
 
 
 def assemble_samples(positives: DataFrame, negatives: DataFrame) -> DataFrame:

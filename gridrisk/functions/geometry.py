@@ -14,14 +14,12 @@ from pyspark.sql import functions as F
 
 def edges(ring: Column) -> Column:
     """Segments of a ring as array<struct<x1, y1, x2, y2>>, closing it where it is open."""
-    n = F.size(ring)
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(
-            F.get(ring, i)["x"].alias("x1"),
-            F.get(ring, i)["y"].alias("y1"),
-            F.get(ring, (i + 1) % n)["x"].alias("x2"),
-            F.get(ring, (i + 1) % n)["y"].alias("y2"),
+    onward = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    return F.zip_with(
+        ring,
+        onward,
+        lambda a, b: F.struct(
+            a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")
         ),
     )
 
@@ -161,27 +159,48 @@ def _clamp_integral(y: Column, low: Column, high: Column) -> Column:
     )
 
 
-def area_under_edge(
-    ex1: Column, ey1: Column, ex2: Column, ey2: Column,
-    x0: Column, y0: Column, x1: Column, y1: Column,
-) -> Column:
-    """Signed area under one edge inside a box; over all edges of a polygon, by Green's theorem,
-    the absolute sum is the area the polygon shares with the box. No clipped polygon is built.
+def with_area_under_edges(rows: DataFrame, box: tuple[Column, ...], out: str = "_under") -> DataFrame:
+    """Add the signed area under each row's edge (x1, y1, x2, y2) inside a box x0, y0, x1, y1.
+
+    Over all edges of a polygon the absolute sum is the area the polygon shares with the box, by
+    Green's theorem; no clipped polygon is built. One step per column keeps the generated methods
+    small enough to be compiled.
     """
-    left = F.greatest(F.least(ex1, ex2), x0)
-    right = F.least(F.greatest(ex1, ex2), x1)
-    slope = F.try_divide(ey2 - ey1, ex2 - ex1)
-    ya = ey1 + slope * (left - ex1)
-    yb = ey1 + slope * (right - ex1)
-    flat = F.least(F.greatest((ya + yb) / 2.0, y0), y1) - y0
-    # the exact integral divides by the slope; on a nearly level edge the mid value is exact
-    steep = F.abs(yb - ya) > (y1 - y0) * 1e-9
+    x0, y0, x1, y1 = box
+    ex1, ey1, ex2, ey2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    step = rows.withColumns(
+        {
+            "_low": y0,
+            "_high": y1,
+            "_left": F.greatest(F.least(ex1, ex2), x0),
+            "_right": F.least(F.greatest(ex1, ex2), x1),
+            "_slope": F.try_divide(ey2 - ey1, ex2 - ex1),
+        }
+    )
+    low, high, left, right = (F.col(c) for c in ("_low", "_high", "_left", "_right"))
+    step = step.withColumns(
+        {
+            "_ya": ey1 + F.col("_slope") * (left - ex1),
+            "_yb": ey1 + F.col("_slope") * (right - ex1),
+        }
+    )
+    ya, yb = F.col("_ya"), F.col("_yb")
+    step = step.withColumns(
+        {
+            "_ia": _clamp_integral(ya, low, high),
+            "_ib": _clamp_integral(yb, low, high),
+            "_flat": F.least(F.greatest((ya + yb) / 2.0, low), high) - low,
+            # the exact integral divides by the slope; on a nearly level edge the mid value is exact
+            "_steep": F.abs(yb - ya) > (high - low) * 1e-9,
+        }
+    )
     swept = F.when(
-        steep,
-        F.try_divide(_clamp_integral(yb, y0, y1) - _clamp_integral(ya, y0, y1), slope),
-    ).otherwise(flat * (right - left))
+        F.col("_steep"), F.try_divide(F.col("_ib") - F.col("_ia"), F.col("_slope"))
+    ).otherwise(F.col("_flat") * (right - left))
     sign = F.when(ex2 > ex1, F.lit(-1.0)).otherwise(F.lit(1.0))
-    return F.when((ex1 != ex2) & (right > left), sign * swept).otherwise(F.lit(0.0))
+    under = F.when((ex1 != ex2) & (right > left), sign * swept).otherwise(F.lit(0.0))
+    spent = ("_low", "_high", "_left", "_right", "_slope", "_ya", "_yb", "_ia", "_ib", "_flat", "_steep")
+    return step.withColumn(out, under).drop(*spent)
 
 
 def point_segment_distance(

@@ -21,7 +21,7 @@ BAND_ROWS = 64
 
 
 def _candidates(polygons: DataFrame, spec: GridSpec, sides: str, margin: float) -> DataFrame:
-    """Cells whose box touches the polygon's bounding box, widened by a margin.
+    """Every edge with each cell whose box touches its polygon's bounding box, widened by a margin.
 
     A large polygon is cut into bands of grid rows that are dealt out over the tasks before its
     cells are listed.
@@ -32,36 +32,34 @@ def _candidates(polygons: DataFrame, spec: GridSpec, sides: str, margin: float)
     def held(index: Column, last: int) -> Column:
         return F.least(F.greatest(index, F.lit(0)), F.lit(last)).cast("int")
 
-    framed = polygons.withColumns(
+    framed = polygons.select("geom_id", sides, *(v.alias(f"_{k}") for k, v in box.items()))
+    framed = framed.withColumns(
         {
-            "_c0": held(spec.column_of(box["minx"] - pad), spec.n_cols - 1),
-            "_c1": held(spec.column_of(box["maxx"] + pad), spec.n_cols - 1),
-            "_r0": held(spec.row_of(box["maxy"] + pad), spec.n_rows - 1),
-            "_r1": held(spec.row_of(box["miny"] - pad), spec.n_rows - 1),
+            "_c0": held(spec.column_of(F.col("_minx") - pad), spec.n_cols - 1),
+            "_c1": held(spec.column_of(F.col("_maxx") + pad), spec.n_cols - 1),
+            "_r0": held(spec.row_of(F.col("_maxy") + pad), spec.n_rows - 1),
+            "_r1": held(spec.row_of(F.col("_miny") - pad), spec.n_rows - 1),
         }
     )
+    banded = framed.withColumn(
+        "_band", F.explode(F.sequence(F.col("_r0"), F.col("_r1"), F.lit(BAND_ROWS)))
+    )
+    # edges before cells, so that the rows listed carry numbers only and no vertex array
+    lined = banded.select("geom_id", "_band", "_c0", "_c1", "_r1", F.inline(sides))
     # a stated number of partitions: adaptive execution would merge them by their present size,
     # before the cells are listed
     tasks = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    banded = framed.withColumn(
-        "_band", F.explode(F.sequence(F.col("_r0"), F.col("_r1"), F.lit(BAND_ROWS)))
-    ).repartition(tasks, "geom_id", "_band")
+    dealt = lined.repartition(tasks, "geom_id", "_band")
     last = F.least(F.col("_band") + BAND_ROWS - 1, F.col("_r1"))
-    rows = banded.withColumn("_row", F.explode(F.sequence(F.col("_band"), last)))
+    rows = dealt.withColumn("_row", F.explode(F.sequence(F.col("_band"), last)))
     return rows.withColumn("_col", F.explode(F.sequence("_c0", "_c1"))).withColumn(
         "cell_id", F.col("_row").cast("bigint") * spec.n_cols + F.col("_col")
     )
 
 
-def _edge_cells(listed: DataFrame, sides: str) -> DataFrame:
-    """One row per candidate cell and edge; what follows stays in generated code."""
-    return listed.select("geom_id", "_band", "_row", "_col", "cell_id", F.inline(sides))
-
-
-def _shared_area(spec: GridSpec) -> Column:
-    box = spec.box(F.col("_col"), F.col("_row"))
-    ends = (F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return F.abs(F.sum(geo.area_under_edge(*ends, *box)))
+def _edge_cells(listed: DataFrame, spec: GridSpec) -> DataFrame:
+    """The candidates with the signed area under their edge; no lambda is run."""
+    return geo.with_area_under_edges(listed, spec.box(F.col("_col"), F.col("_row")))
 
 
 # grouping by the keys the rows were dealt out by adds no shuffle
@@ -75,10 +73,10 @@ def polygon_cells(
 
     Touching an edge is not overlapping.
     """
-    rows = _edge_cells(_candidates(polygons, spec, sides, 0.0), sides)
+    rows = _edge_cells(_candidates(polygons, spec, sides, 0.0), spec)
     return (
         rows.groupBy(*CELL_KEYS)
-        .agg(_shared_area(spec).alias("area"))
+        .agg(F.abs(F.sum("_under")).alias("area"))
         .where(F.col("area") > tolerance * spec.resolution**2)
         .select("geom_id", "cell_id", "area")
     )
@@ -107,11 +105,11 @@ def buffered_cells(
     The grown polygon is never built: a cell overlaps it when it overlaps the polygon or lies
     nearer than the radius.
     """
-    rows = _edge_cells(_candidates(polygons, spec, sides, radius), sides)
+    rows = _edge_cells(_candidates(polygons, spec, sides, radius), spec)
     gap = _edge_box_distance(*spec.box(F.col("_col"), F.col("_row")))
     return (
         rows.groupBy(*CELL_KEYS)
-        .agg(_shared_area(spec).alias("_area"), F.min(gap).alias("_gap"))
+        .agg(F.abs(F.sum("_under")).alias("_area"), F.min(gap).alias("_gap"))
         .where(
             (F.col("_area") > 1e-9 * spec.resolution**2)
             | (F.col("_gap") < radius * (1 - 1e-12))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridrisk.catalog.standins import Tables
+from gridrisk.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -20,7 +21,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(Tables(spark, sf_dir))
+            return build(Tables(ship_package(spark), sf_dir))
 
         QUERIES[name] = run
         if sql is not None:

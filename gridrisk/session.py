@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +32,24 @@ def build_session(cores: str | int = "*", app: str = "gridrisk", **conf: str) ->
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, so that tasks find its functions."""
+    context = spark.sparkContext
+    if not getattr(context, "_gridrisk_shipped", False):
+        root = Path(__file__).resolve().parent
+        # executors fetch the archive when their first task starts, so it stays until the driver ends
+        folder = tempfile.mkdtemp(prefix="gridrisk-ship-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = f"{folder}/gridrisk-{uuid.uuid4().hex[:8]}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, f"{root.name}/{path.relative_to(root)}")
+        context.addPyFile(archive)
+        context._gridrisk_shipped = True
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +63,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; a cluster needs a shared folder")
     folder = tempfile.mkdtemp(prefix="gridrisk-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

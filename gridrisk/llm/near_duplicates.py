@@ -189,8 +189,9 @@ def text_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> DataFra
         met = active.join(ranked, ["key", "node"], "left").join(hubs, "key").where(F.col("rank").isNull() | (F.col("rank") > F.col("hub_rank")))
         pairs = met.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
         alike = cut_lineage(verified(pairs, sequences, similarity).where("alike").select("node", "hub"), "near-alike")
-        links = alike if links is None else links.unionByName(alike)
-        roots = components(links, "node", "hub")
+        if alike.limit(1).count():
+            links = alike if links is None else links.unionByName(alike)
+            roots = components(links, "node", "hub")
         at, first_at = roots, roots.withColumnsRenamed({"node": "first", "root": "first_root"})
         rest = active.where(F.col("n") > top).join(firsts, "key").join(at, "node", "left").join(first_at, "first", "left")
         active = cut_lineage(rest.where(F.coalesce("root", "node") != F.coalesce("first_root", "first")).select("key", "n", "node", "degree"), "near-active")

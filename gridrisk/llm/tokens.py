@@ -23,7 +23,7 @@ END = 0  # the id after each document
 BLOCK = 1024  # ids of a block
 SHARE = 95  # percent of a block's ids that its bit width must hold
 SEGMENT = 1 << 17  # ids after which a file row is full
-REMEMBERED = 700_000  # words whose ids a task keeps, about 150 MB
+REMEMBERED = 500_000  # words whose ids a task keeps, about 110 MB
 
 MAGIC = b"PFOR"
 
@@ -39,8 +39,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library, self.parted = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path, self.whole, self.parted = path, None, Tokenizer.from_file(path)
         # words are learnt many in one text, with a special token between them
         special = self.parted.get_added_tokens_decoder()
         self.mark_id, self.mark = next(((k, t.content) for k, t in special.items() if t.special and not t.lstrip and not t.rstrip), (None, None))
@@ -48,7 +47,14 @@ class Encoder:
         self.later: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        if not texts:
+            return []
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+            self.whole.encode_special_tokens = True
+        return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
         new = [w for w in words if w not in known]

@@ -55,7 +55,11 @@ def code_shares(
     counts = known.groupBy(cell, code).agg(F.count("*").alias("_n"))
     totals = counts.groupBy(cell).agg(F.sum("_n").alias("_valid"))
     return counts.join(totals, cell).select(
-        cell, F.col(code).alias("code"), (F.col("_n") / F.col("_valid")).alias("share")
+        cell,
+        F.col(code).alias("code"),
+        (F.col("_n") / F.col("_valid")).alias("share"),
+        F.col("_n").alias("pixels"),
+        F.col("_valid").alias("valid_pixels"),
     )
 
 
@@ -68,14 +72,15 @@ def proportions(
         F.count_if(valid).alias("_valid"),
         *(F.count_if(valid & (F.col(code) == c)).alias(f"_c{c}") for c in codes),
     )
-    columns = {c: F.try_divide(F.col(f"_c{c}"), F.col("_valid")) for c in codes}
-    out = [columns[c].alias(f"{prefix}{c}") for c in codes]
+    columns = {c: F.col(f"_c{c}") for c in codes}
+    share = lambda n: F.try_divide(n, F.col("_valid"))
+    out = [share(columns[c]).alias(f"{prefix}{c}") for c in codes]
     for level in (2, 1):
         groups: dict[int, list[int]] = {}
         for c in codes:
             groups.setdefault(CORINE_CODES[c - 1] // 10 ** (3 - level), []).append(c)
         out += [
-            reduce(lambda a, b: a + b, (columns[c] for c in members)).alias(
+            share(reduce(lambda a, b: a + b, (columns[c] for c in members))).alias(
                 f"{prefix}L{level}_{name}"
             )
             for name, members in groups.items()
@@ -84,9 +89,9 @@ def proportions(
 
 
 def regroup(shares: DataFrame, cell: str, level: int) -> DataFrame:
-    """Sum class shares onto their parents."""
+    """Shares of the parents of the classes: pixels are summed and divided once."""
     return shares.groupBy(cell, parent(F.col("code"), level).alias("parent")).agg(
-        F.sum("share").alias("share")
+        (F.sum("pixels") / F.max("valid_pixels")).alias("share")
     )
 
 

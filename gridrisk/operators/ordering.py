@@ -30,6 +30,13 @@ def _by(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn(ALL, F.lit(0)), [ALL])
 
 
+def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, a NULL key being a group like any other; the left side's keys remain."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, same, how).drop(*(f"_right_{k}" for k in keys))
+
+
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """Rows of the largest group: one number, from counts combined before the shuffle."""
     if not by:
@@ -41,20 +48,20 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
 def slice_values(df: DataFrame, by: Sequence[str], order: str, slice_rows: int) -> DataFrame:
     """Add `_slice`, rising with `order` inside each group; 0 everywhere in a small group.
 
-    `df` holds one row per group and value.
+    `df` holds one row per group and value. Only oversized groups have a row in `sizes` and
+    `cuts`, fewer than rows / slice_rows, so both go to every task.
     """
     sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > slice_rows)
     picked = F.pmod(F.xxhash64(F.col(order)), F.col("_n")) < SLICES
     cuts = (
-        df.select(*by, order)
-        .join(sizes, list(by))
+        meet(df.select(*by, order), F.broadcast(sizes), by)
         .where(picked)
         .groupBy(*by)
         .agg(F.sort_array(F.collect_set(order)).alias("_cuts"))
     )
     below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
     return (
-        df.join(cuts, list(by), "left")
+        meet(df, F.broadcast(cuts), by, "left")
         .withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below))
         .drop("_cuts")
     )
@@ -114,7 +121,7 @@ def _running_sliced(keyed, keys, order, sums, slice_rows, with_next):
         *(F.sum(f"_t_{c}").over(Window.partitionBy(*keys)).alias(f"total_{c}") for c in sums),
         F.lead("_first").over(along).alias("_after"),
     )
-    out = local.join(offsets, [*keys, "_slice"]).withColumns(
+    out = meet(local, offsets, [*keys, "_slice"]).withColumns(
         {f"cum_{c}": F.col(f"_in_{c}") + F.col(f"_off_{c}") for c in sums}
     )
     if with_next:
@@ -145,8 +152,7 @@ def running_max(
         .select(*keys, "_slice", F.max("_top").over(before).alias("_before"))
     )
     return (
-        sliced.withColumn("_in", F.max(value).over(upto))
-        .join(tops, [*keys, "_slice"])
+        meet(sliced.withColumn("_in", F.max(value).over(upto)), tops, [*keys, "_slice"])
         .withColumn(out, F.greatest("_in", "_before"))
         .drop("_in", "_before", "_slice", *([] if by else [ALL]))
     )
@@ -178,7 +184,7 @@ def percentile_rank(
         "total__ties"
     )
     lookup = placed.select(*by, value, share.alias(out))
-    return df.join(lookup, [*by, value], "left").select(*df.columns, out)
+    return meet(df, lookup, [*by, value], "left").select(*df.columns, out)
 
 
 def row_ids(

@@ -43,9 +43,9 @@ def hourly_rows(
 def other_clocks(payloads: DataFrame, column: str, key: Sequence[str], like: str) -> DataFrame:
     """Payloads of a request whose clock is not the one most others of it share.
 
-    `like` names the request; clocks are compared by hash, counted per request.
+    `like` names the request; clocks are compared by their digest, counted per request.
     """
-    clock = F.hash(F.from_json(column, "STRUCT<hourly: STRUCT<time: ARRAY<STRING>>>"))
+    clock = F.sha2(F.to_json(F.from_json(column, "STRUCT<hourly: STRUCT<time: ARRAY<STRING>>>")), 256)
     tagged = payloads.select(*key, like, clock.alias("_clock"))
     counts = tagged.groupBy(like, "_clock").agg(F.count("*").alias("_n"))
     main = counts.groupBy(like).agg(

@@ -130,3 +130,18 @@ def test_negatives_avoid_exclusions_and_repeat(spark):
     assert every.select("cell_id", "date").distinct().count() == 200
     with pytest.raises(ValueError, match="only 200"):
         sampling.sample_negatives(cells, blocked, 201, "2003-01-01", 30, 3)
+
+
+def test_null_groups_stay_at_any_slice_size(spark):
+    from gridrisk.operators import ordering
+
+    rows = [(None if k % 3 == 0 else k % 2, k % 50 if k % 5 else 7, 1) for k in range(600)]
+    df = spark.createDataFrame(rows, "g int, v int, one int")
+    distinct = df.groupBy("g", "v").agg({"one": "sum"}).withColumnRenamed("sum(one)", "n")
+    for build in (
+        lambda size: ordering.running_sums(distinct, ["g"], "v", ["n"], size, with_next=True),
+        lambda size: ordering.percentile_rank(df, ["g"], "v", "p", size),
+        lambda size: ordering.running_max(distinct, ["g"], "v", "n", "top", size),
+    ):
+        whole, sliced = (sorted(map(tuple, build(size).collect()), key=str) for size in (1_000_000, 10))
+        assert len(whole) == len(sliced) and str(whole) == str(sliced)

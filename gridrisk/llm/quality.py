@@ -103,8 +103,9 @@ def cutoffs(rows: DataFrame, keys: tuple[str, str] = ("lang", "source"), least_r
     sketches = cut_lineage(sketches, "quality-sketches")
     quartiles = (0.25, 0.75)
     merged = [F.expr(f"kll_merge_agg_double({m}, {size})").alias(f"m_{m}") for m in MEASURES]
-    # two numbers a measure for the whole corpus
-    whole = sketches.agg(*merged).select([F.kll_sketch_get_quantile_double(f"m_{m}", F.lit(q)).alias(f"{m}_{q}") for m in MEASURES for q in quartiles]).first()
+    # two numbers a measure for the whole corpus; sketches of no rows have no quantiles
+    some = sketches.limit(1).count() > 0
+    whole = sketches.agg(*merged).select([F.kll_sketch_get_quantile_double(f"m_{m}", F.lit(q)).alias(f"{m}_{q}") for m in MEASURES for q in quartiles]).first() if some else {f"{m}_{q}": None for m in MEASURES for q in quartiles}
     first = sketches.groupBy(F.col(one).alias("one")).agg(F.sum("n").alias("m_n"), *merged)
     joined = sketches.join(first, F.col(one).eqNullSafe(F.col("one")), "left")
 

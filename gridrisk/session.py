@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,9 +70,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_watchers: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no earlier run has written to."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _watchers:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def staged_paths() -> Iterator[list[str]]:
+    """The paths that are staged meanwhile, to remove when what rests on them has been written."""
+    made: list[str] = []
+    _watchers.append(made)
+    try:
+        yield made
+    finally:
+        # by identity: two empty lists are equal
+        _watchers[:] = [x for x in _watchers if x is not made]
+
+
+def remove_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables, wherever the shared folder lies."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in map(hadoop.Path, paths):
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -2,40 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridrisk.llm import contamination, near_duplicates, packing, privacy, quality
-from gridrisk.session import cut_lineage, ship_package
+from gridrisk.session import cut_lineage, remove_staged, ship_package, staged_paths
+
+_left: list[str] = []
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose predecessor's result has been written: the tables that one staged are removed."""
+
+    @wraps(work)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_staged(ship_package(spark), _left)
+        with staged_paths() as made:
+            out = work(spark, docs, sf_dir)
+        _left[:] = made
+        return out
+
+    return staged
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or a cutoff of their language and source go."""
-    ship_package(spark)
     return quality.passing(docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays, that with the least doc_id."""
-    ship_package(spark)
     return near_duplicates.one_of_each(docs)
 
 
+@stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that stand in a place of a benchmark window are cut out of the texts."""
-    ship_package(spark)
     return contamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def private_terms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data, and the terms that reveal it, are replaced by the names of their kinds."""
-    ship_package(spark)
     return privacy.sanitised(docs)
 
 
+@stage
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document in a training sequence."""
-    ship_package(spark)
     return packing.packed_texts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -54,6 +73,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each written to the shared folder and read by the next."""
     docs = ship_package(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, work in STAGES:
+        docs = cut_lineage(work(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

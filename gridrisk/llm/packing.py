@@ -24,7 +24,7 @@ from gridrisk.session import cut_lineage
 TOKENS = 2048
 SEGMENTS = 128
 END = 1  # the id after each document
-POOL = 2048  # examples packed at once
+POOL = 512  # examples packed at once
 TOGETHER = 2000  # open sequences packed by one task in the end
 
 

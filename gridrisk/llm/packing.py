@@ -60,39 +60,37 @@ def pack_pool(pieces: list[Piece], limits: tuple[int, int, int], final: bool) ->
 
     Ties go to the example that came first. Each piece costs one scan over the pool.
     """
-    capacity = np.array(limits, float)
     pieces = list(pieces)
     demands = np.array([p.demand() for p in pieces], float).reshape(-1, 3)
-    free = np.ones(len(pieces), bool)
-    weights = demands.mean(axis=0) / capacity if len(pieces) else capacity
-    scaled = demands / capacity * weights
+    tokens, loss = demands[:, 0].copy(), demands[:, 2].copy()
+    # every example is one segment, so that limit decides what fits but not which is best
+    weight = demands.mean(axis=0) / np.array(limits, float) ** 3 if len(pieces) else np.zeros(3)
     done: list[list[Piece]] = []
     sequence: list[Piece] = []
-    left = np.array(limits, np.int64)
+    left = list(limits)
     remaining = len(pieces)
     while remaining:
-        fits = free & (demands <= left).all(axis=1)
-        score = np.where(fits, scaled @ (left / capacity), -1.0)
-        best = int(score.argmax())
-        if score[best] >= 0:
+        fits = np.flatnonzero((tokens <= left[0]) & (loss <= left[2])) if left[1] > 0 else ()
+        whole = len(fits) > 0
+        some = fits if whole else np.flatnonzero(tokens < np.inf)
+        best = int(some[(tokens[some] * (weight[0] * left[0]) + loss[some] * (weight[2] * left[2])).argmax()])
+        if whole:
             taken = pieces[best]
-            free[best], remaining = False, remaining - 1
+            tokens[best] = np.inf
+            remaining -= 1
         else:
-            score = np.where(free, scaled @ (left / capacity), -1.0)
-            best = int(score.argmax())
-            size = head(pieces[best], int(left[0]), int(left[2])) if left[1] > 0 else 0
+            size = head(pieces[best], left[0], left[2]) if left[1] > 0 else 0
             if size == 0:
                 done.append(sequence)
-                sequence, left = [], np.array(limits, np.int64)
+                sequence, left = [], list(limits)
                 continue
             taken, pieces[best] = pieces[best].cut(size)
-            demands[best] = pieces[best].demand()
-            scaled[best] = demands[best] / capacity * weights
+            tokens[best], _, loss[best] = pieces[best].demand()
         sequence.append(taken)
-        left = left - taken.demand()
+        left = [x - y for x, y in zip(left, taken.demand(), strict=True)]
         if left[0] == 0 or left[1] == 0:
             done.append(sequence)
-            sequence, left = [], np.array(limits, np.int64)
+            sequence, left = [], list(limits)
     if final and sequence:
         done.append(sequence)
         sequence = []

@@ -34,7 +34,6 @@ CONTEXT = 48  # characters on either side of an entity whose words count as stan
 SUPPORT = 3  # different texts in which a term must stand with an entity before it can reveal it
 SHARE = 0.75  # of the entity's information
 LEAST_LETTERS = 3
-BROADCAST_TERMS = 200_000  # candidate terms that go to every task, about 10 MB; more are joined by shuffle
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
@@ -104,8 +103,7 @@ def contexts(text: Column, spans: Column) -> Column:
 def document_counts(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """(term, n_t): in how many rows of `docs` each of the terms stands, over whole texts."""
     listed = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text)), "(?:(?!" + LETTERS[:-1] + ").)+|[\n\r\x85  ]+"))).alias("term"))
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        return listed.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # words are counted in their tasks before they meet the terms, so common ones leave a row a task
     return listed.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
 
 

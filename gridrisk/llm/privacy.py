@@ -103,8 +103,8 @@ def contexts(text: Column, spans: Column) -> Column:
 def document_counts(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """(term, n_t): in how many rows of `docs` each of the terms stands, over whole texts."""
     listed = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text)), "(?:(?!" + LETTERS[:-1] + ").)+|[\n\r\x85  ]+"))).alias("term"))
-    # words are counted in their tasks before they meet the terms, so common ones leave a row a task
-    return listed.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
+    # an inner join, since a semi-join would be moved below the count and keep a row a word and text
+    return listed.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
 
 
 def revealing(near: DataFrame, docs: DataFrame, text: str, support: int = SUPPORT, share: float = SHARE) -> DataFrame:

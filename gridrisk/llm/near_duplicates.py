@@ -23,7 +23,7 @@ from gridrisk.session import cut_lineage
 SHINGLE = 5
 SIMILARITY = 0.8
 FUNCTIONS = 12  # at similarity 0.8 a pair shares no key once in 200,000 pairs
-GROWTH = 8  # times more leading texts of a key in each round
+GROWTH = 32  # times more leading texts of a key in each round
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,24 +169,27 @@ def verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataF
 def text_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) for the nodes that have a near-duplicate, from rows of node, keys and seq.
 
-    Round by round the 1, 8, 64, ... leading texts of each key meet the texts that rank below them
+    Round by round the 1, 32, 1024, ... leading texts of each key meet the texts that rank below them
     and are not yet in the component of the first. A key is done when all its texts are in that
     component or have met every other; texts of a key that are all alike end after one round.
+    Texts meet only if their lengths let them reach the similarity, which loses none that do: an
+    alignment matches at most the shorter one's shingles.
     """
-    entries = cut_lineage(sketches.select(F.explode("keys").alias("key"), "node").distinct(), "near-keys")
+    entries = cut_lineage(sketches.select(F.explode("keys").alias("key"), "node", F.octet_length("seq").alias("length")).distinct(), "near-keys")
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = entries.join(shared, "key")
     degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = cut_lineage(members.join(degrees, "node").select("key", "n", "node", "degree"), "near-members")
+    members = cut_lineage(members.join(degrees, "node").select("key", "n", "node", "degree", "length"), "near-members")
     sequences = cut_lineage(sketches.join(degrees.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("seq").alias("seq")), "near-sequences")
     firsts = members.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("first")).select("key", F.col("first.node").alias("first"))
     active, links, roots, top = members, None, sketches.select("node", F.col("node").alias("root")).limit(0), 1
     while active.limit(1).count():
         # only the leading rows of a key leave its tasks, so a large key is not ordered in one place
         ranked = members.join(active.select("key").distinct(), "key", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), F.desc("node")))).where(F.col("rank") <= top)
-        ranked = cut_lineage(ranked.select("key", "node", "rank"), "near-leading")
-        hubs = ranked.where(F.col("rank") > top // GROWTH).select("key", F.col("node").alias("hub"), F.col("rank").alias("hub_rank"))
-        met = active.join(ranked, ["key", "node"], "left").join(hubs, "key").where(F.col("rank").isNull() | (F.col("rank") > F.col("hub_rank")))
+        ranked = cut_lineage(ranked.select("key", "node", "rank", "length"), "near-leading")
+        hubs = ranked.where(F.col("rank") > top // GROWTH).select("key", F.col("node").alias("hub"), F.col("rank").alias("hub_rank"), F.col("length").alias("hub_length"))
+        met = active.join(ranked.drop("length"), ["key", "node"], "left").join(hubs, "key").where(F.col("rank").isNull() | (F.col("rank") > F.col("hub_rank")))
+        met = met.where(F.least("length", "hub_length") >= (similarity - 1e-9) * F.greatest("length", "hub_length"))
         pairs = met.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
         alike = cut_lineage(verified(pairs, sequences, similarity).where("alike").select("node", "hub"), "near-alike")
         if alike.limit(1).count():
@@ -194,7 +197,7 @@ def text_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> DataFra
             roots = components(links, "node", "hub")
         at, first_at = roots, roots.withColumnsRenamed({"node": "first", "root": "first_root"})
         rest = active.where(F.col("n") > top).join(firsts, "key").join(at, "node", "left").join(first_at, "first", "left")
-        active = cut_lineage(rest.where(F.coalesce("root", "node") != F.coalesce("first_root", "first")).select("key", "n", "node", "degree"), "near-active")
+        active = cut_lineage(rest.where(F.coalesce("root", "node") != F.coalesce("first_root", "first")).select("key", "n", "node", "degree", "length"), "near-active")
         top *= GROWTH
     return roots
 

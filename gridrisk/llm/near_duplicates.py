@@ -166,6 +166,36 @@ def verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataF
     return both.select("node", "hub", "seq", "hub_seq").mapInArrow(align, "node string, hub string, alike boolean")
 
 
+def own_shingles(sequences: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of a text stand in no other of the texts; id is a hash of node.
+
+    Texts without such shingles have no row.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, seqs = column(batch, "id").to_numpy(), column(batch, "seq").to_pylist()
+            sizes = np.array([len(x) // 4 for x in seqs], np.int64)
+            part = np.cumsum(sizes) >> 20
+            for k in np.unique(part):
+                rows = np.flatnonzero(part == k)
+                shingles = np.frombuffer(b"".join(seqs[x] for x in rows), "<u4").view("<i4")
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[rows], sizes[rows])), pa.array(shingles)], names=["id", "shingle"])
+
+    places = sequences.select(F.xxhash64("node").alias("id"), "seq").mapInArrow(listed, "id bigint, shingle int")
+    counted = places.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count("*").alias("n"))
+    return counted.where(F.col("id") == F.col("last")).groupBy("id").agg(F.sum("n").alias("own"))
+
+
+def reachable(texts: DataFrame, own: DataFrame | None, similarity: float) -> DataFrame:
+    """The rows with `shared`, the length without shingles of their own, where that may still do."""
+    if own is None:
+        return texts.withColumn("shared", F.col("length"))
+    joined = texts.withColumn("id", F.xxhash64("node")).join(own, "id", "left")
+    shared = joined.withColumn("shared", F.col("length") - 4 * F.coalesce("own", F.lit(0))).drop("id", "own")
+    return shared.where(F.col("shared") >= (similarity - 1e-9) * F.col("length"))
+
+
 def text_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) for the nodes that have a near-duplicate, from rows of node, keys and seq.
 
@@ -173,7 +203,9 @@ def text_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> DataFra
     and are not yet in the component of the first. A key is done when all its texts are in that
     component or have met every other; texts of a key that are all alike end after one round.
     Texts meet only if their lengths let them reach the similarity, which loses none that do: an
-    alignment matches at most the shorter one's shingles.
+    alignment matches at most the shorter one's shingles. From the second round on, shingles that
+    stand in no other text of the keys left do not count, as no alignment can match them; a text
+    that has too many of them, such as a far copy in a large group of copies, meets nobody more.
     """
     entries = cut_lineage(sketches.select(F.explode("keys").alias("key"), "node", F.octet_length("seq").alias("length")).distinct(), "near-keys")
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -184,12 +216,20 @@ def text_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> DataFra
     firsts = members.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("first")).select("key", F.col("first.node").alias("first"))
     active, links, roots, top = members, None, sketches.select("node", F.col("node").alias("root")).limit(0), 1
     while active.limit(1).count():
+        own = None
+        if top > 1:
+            left = members.join(active.select("key").distinct(), "key", "left_semi").select("node").distinct()
+            own = cut_lineage(own_shingles(sequences.join(left, "node", "left_semi")), "near-own")
+            active = cut_lineage(reachable(active, own, similarity), "near-able")
+        else:
+            active = reachable(active, None, similarity)
         # only the leading rows of a key leave its tasks, so a large key is not ordered in one place
         ranked = members.join(active.select("key").distinct(), "key", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), F.desc("node")))).where(F.col("rank") <= top)
         ranked = cut_lineage(ranked.select("key", "node", "rank", "length"), "near-leading")
-        hubs = ranked.where(F.col("rank") > top // GROWTH).select("key", F.col("node").alias("hub"), F.col("rank").alias("hub_rank"), F.col("length").alias("hub_length"))
+        hubs = reachable(ranked.where(F.col("rank") > top // GROWTH), own, similarity).select("key", F.col("node").alias("hub"), F.col("rank").alias("hub_rank"), F.col("length").alias("hub_length"), F.col("shared").alias("hub_shared"))
         met = active.join(ranked.drop("length"), ["key", "node"], "left").join(hubs, "key").where(F.col("rank").isNull() | (F.col("rank") > F.col("hub_rank")))
-        met = met.where(F.least("length", "hub_length") >= (similarity - 1e-9) * F.greatest("length", "hub_length"))
+        most = F.least("shared", "hub_shared")
+        met = met.where(most >= (similarity - 1e-9) * (F.col("length") + F.col("hub_length") - most))
         pairs = met.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
         alike = cut_lineage(verified(pairs, sequences, similarity).where("alike").select("node", "hub"), "near-alike")
         if alike.limit(1).count():

@@ -235,6 +235,20 @@ def reference_classes(rows):
     return Counter(tuple(sorted(g, key=lambda v: (v is not None, v or 0))) for g in groups.values())
 
 
+def test_near_duplicates_behind_a_common_passage(spark):
+    """Texts that share a passage and are unlike, among them three pairs that only late rounds can meet."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    made = [(k, f"{passage} " + " ".join(f"t{k}x{j}" for j in range(12))) for k in range(42)]
+    made += [(100 + k, made[k][1] + " more") for k in (3, 20, 41)]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    groups = defaultdict(list)
+    for r in near_duplicates.digest(frame).collect():
+        groups[r.class_id].append(r.doc_id)
+    want = reference_classes(frame.collect())
+    assert Counter(tuple(sorted(g)) for g in groups.values()) == want
+    assert sorted(g for g in want if len(g) > 1) == [(3, 103), (20, 120), (41, 141)]
+
+
 def test_near_duplicates_against_all_pairs(small, odd, spark):
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in rng.integers(0, 5000, 150)]

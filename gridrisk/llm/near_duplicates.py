@@ -199,9 +199,10 @@ def reachable(texts: DataFrame, own: DataFrame | None, similarity: float) -> Dat
 def text_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) for the nodes that have a near-duplicate, from rows of node, keys and seq.
 
-    Round by round the 1, 32, 1024, ... leading texts of each key meet the texts that rank below them
-    and are not yet in the component of the first. A key is done when all its texts are in that
-    component or have met every other; texts of a key that are all alike end after one round.
+    Round by round the 1, 32, 1024, ... leading texts of each key meet the texts of the key, ranked
+    above or below them, that are not yet in the component of the first. A key is done when all its
+    texts are in that component or have met every other, those in the component too; texts of a key
+    that are all alike end after one round.
     Texts meet only if their lengths let them reach the similarity, which loses none that do: an
     alignment matches at most the shorter one's shingles. From the second round on, shingles that
     stand in no other text of the keys left do not count, as no alignment can match them; a text
@@ -225,9 +226,12 @@ def text_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> DataFra
             active = reachable(active, None, similarity)
         # only the leading rows of a key leave its tasks, so a large key is not ordered in one place
         ranked = members.join(active.select("key").distinct(), "key", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), F.desc("node")))).where(F.col("rank") <= top)
-        ranked = cut_lineage(ranked.select("key", "node", "rank", "length"), "near-leading")
-        hubs = reachable(ranked.where(F.col("rank") > top // GROWTH), own, similarity).select("key", F.col("node").alias("hub"), F.col("rank").alias("hub_rank"), F.col("length").alias("hub_length"), F.col("shared").alias("hub_shared"))
-        met = active.join(ranked.drop("length"), ["key", "node"], "left").join(hubs, "key").where(F.col("rank").isNull() | (F.col("rank") > F.col("hub_rank")))
+        live = active.select("key", "node", F.lit(True).alias("live"))
+        ranked = cut_lineage(ranked.select("key", "node", "rank", "length").join(live, ["key", "node"], "left"), "near-leading")
+        hubs = reachable(ranked.where(F.col("rank") > top // GROWTH), own, similarity).select("key", F.col("node").alias("hub"), F.col("rank").alias("hub_rank"), F.col("length").alias("hub_length"), F.col("shared").alias("hub_shared"), F.col("live").alias("hub_live"))
+        # a live hub that ranks below the text meets it from its own side or has met it before
+        met = active.join(ranked.select("key", "node", "rank"), ["key", "node"], "left").join(hubs, "key")
+        met = met.where(F.col("rank").isNull() | (F.col("rank") > F.col("hub_rank")) | (F.col("rank") < F.col("hub_rank")) & F.col("hub_live").isNull())
         most = F.least("shared", "hub_shared")
         met = met.where(most >= (similarity - 1e-9) * (F.col("length") + F.col("hub_length") - most))
         pairs = met.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()

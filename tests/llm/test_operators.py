@@ -249,6 +249,22 @@ def test_near_duplicates_behind_a_common_passage(spark):
     assert sorted(g for g in want if len(g) > 1) == [(3, 103), (20, 120), (41, 141)]
 
 
+def test_near_duplicates_over_a_bridge_of_low_rank(spark):
+    # key 1 holds first, other and bridge in this order of degrees; only the bridge is like both
+    whole = np.arange(100, dtype="<u4")
+    rows = [
+        ("first", [1, 2], whole[15:]),
+        ("other", [1, 3], whole[:85]),
+        ("bridge", [1], whole),
+        *[(f"x{k}", [2], np.arange(1000 * k, 1000 * k + 85, dtype="<u4")) for k in (1, 2)],
+        ("x3", [3], np.arange(5000, 5085, dtype="<u4")),
+    ]
+    sketches = spark.createDataFrame([(n, k, bytearray(s.tobytes())) for n, k, s in rows], "node string, keys array<long>, seq binary")
+    assert near_duplicates.aligned(whole[15:], whole[:85]) < 0.8
+    roots = {r.node: r.root for r in near_duplicates.text_classes(sketches).collect()}
+    assert roots == dict.fromkeys(("first", "other", "bridge"), "bridge")
+
+
 def test_near_duplicates_against_all_pairs(small, odd, spark):
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in rng.integers(0, 5000, 150)]

@@ -1,9 +1,9 @@
 """Personal data, and the terms around it that give it away, found and generalised by column functions.
 
 Patterns find the protected entities: mail and network addresses, card and phone numbers. The
-corpus then tells which words near an entity reveal it: co-occurrence counts give the pointwise
-mutual information of term and entity, and a term that carries more than a stated share of the
-entity's information is generalised wherever it stands near that entity.
+corpus then tells which words of their texts reveal an entity: counts of different texts give the
+pointwise mutual information of term and entity, and a term that carries a stated share or more of
+an entity's information is generalised wherever it stands.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 #: A word of letters alone.
 LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
-CONTEXT = 48  # characters on either side of an entity whose words count as standing with it
-SUPPORT = 3  # different texts in which a term must stand with an entity before it can reveal it
 SHARE = 0.75  # of the entity's information
 LEAST_LETTERS = 3
 
@@ -82,77 +80,70 @@ def base_spans(text: Column) -> Column:
     return F.concat(*kinds)
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """(entity, term, start, end) for the words within reach of each span that no span overlaps."""
+def terms_of(text: Column) -> Column:
+    """Hashes of the different words of letters, lower-cased."""
+    found = F.filter(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), lambda w: F.char_length(w) >= LEAST_LETTERS)
+    return F.array_distinct(F.transform(found, lambda w: F.xxhash64(F.lower(w))))
 
-    def around(span: Column) -> Column:
-        first = F.greatest(span["start"] - CONTEXT, F.lit(0).cast("bigint"))
-        left = F.substr(text, (first + 1).cast("int"), (span["start"] - first).cast("int"))
-        right = F.substr(text, (span["end"] + 1).cast("int"), F.lit(CONTEXT))
-        # a word that the reach cuts is left out
-        found = F.concat(
-            F.filter(matches(left, LETTERS, "term", lambda v: F.char_length(v) >= LEAST_LETTERS, first), lambda x: (x["start"] > first) | (first == 0)),
-            F.filter(matches(right, LETTERS, "term", lambda v: F.char_length(v) >= LEAST_LETTERS, span["end"]), lambda x: (x["end"] < span["end"] + CONTEXT) | (x["end"] == F.char_length(text))),
-        )
-        free = F.filter(found, lambda x: ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-        return F.transform(free, lambda x: F.struct(F.xxhash64(span["kind"], span["value"]).alias("entity"), F.lower(x["value"]).alias("term"), x["start"].alias("start"), x["end"].alias("end")))
 
-    return F.flatten(F.transform(spans, around))
+def revealing(words: DataFrame, entities: DataFrame, texts: int, share: float = SHARE) -> DataFrame:
+    """(term) whose mutual information reaches the share of the information of an entity.
 
-
-def document_counts(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
-    """(term, n_t): in how many rows of `docs` each of the terms stands, over whole texts."""
-    listed = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text)), "(?:(?!" + LETTERS[:-1] + ").)+|[\n\r\x85  ]+"))).alias("term"))
-    # an inner join, since a semi-join would be moved below the count and keep a row a word and text
-    return listed.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
-
-
-def revealing(near: DataFrame, docs: DataFrame, text: str, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """(entity, term) pairs whose mutual information reaches the share of the entity's information.
-
-    `near` has a row (entity, term, text_key) for each time a term stands near an entity. Copies of
-    a text count once for the pair and the entity, and each for the term, which errs on the side of
-    leaving a term in place.
+    `words` has a row (text_key, term) or more for each word of a text, `entities` (text_key,
+    entity); `texts` is the number of different texts. All counts are of different texts. A term
+    must stand in few texts beside those of the entity, n_t <= n_et * (texts / n_e) ** (1 - share),
+    which holds for an entity or a term of one text as well. Words too frequent for every entity
+    of their text are left out before they meet its entities.
     """
-    rows = docs.count()
-    seen = near.select("entity", "term", "text_key").distinct()
-    pairs = cut_lineage(seen.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support), "private-pairs")
-    entities = near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = cut_lineage(pairs.select("term").distinct(), "private-terms")
-    counted = document_counts(docs, text, terms)
-    information = F.log2(F.lit(float(rows)) / F.col("n_e"))
-    mutual = information - F.log2(F.greatest(F.col("n_t"), F.col("n_et")) / F.col("n_et"))
-    return pairs.join(entities, "entity").join(counted, "term").where((information > 0) & (mutual >= share * information)).select("entity", "term")
+    held = cut_lineage(entities.distinct(), "private-entities")
+    sized = cut_lineage(held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")), "entity"), "private-sized")
+    counted = cut_lineage(words.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("n_t")), "private-counts")
+    reach = F.col("n_e") * F.pow(F.lit(float(texts)) / F.col("n_e"), F.lit(1 - share))
+    most = sized.groupBy("text_key").agg((F.max(reach) * (1 + 1e-9)).alias("most"))
+    near = words.join(most, "text_key").select("text_key", "term", "most").distinct()
+    near = cut_lineage(near.join(counted, "term").where(F.col("n_t") <= F.col("most")).select("text_key", "term", "n_t"), "private-near")
+    pairs = near.join(sized, "text_key").groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    information = F.log2(F.lit(float(texts)) / F.col("n_e"))
+    mutual = information - F.log2(F.col("n_t") / F.col("n_et"))
+    return pairs.where((information > 0) & (mutual >= share * information - 1e-9)).select("term").distinct()
 
 
 def private_spans(docs: DataFrame, text: str = "text", keep_text: bool = True, **options) -> DataFrame:
     """All rows and columns of `docs` with `_spans`: kind, start, end and value of everything found.
 
     Kinds come in the order email, ip, card, phone, term and each by start; positions are code
-    points of the text, end exclusive. Null and empty texts have no spans; repeated rows get the
-    same ones; an empty table gives an empty one; other columns may have any names but `_spans`.
+    points of the text, end exclusive. Terms are words that no other span overlaps and that reveal
+    an entity of the corpus, in every text that has them. Null and empty texts have no spans;
+    repeated rows get the same ones and count once; an empty table gives an empty one; other
+    columns may have any names but `_spans`.
     """
     base, at = numbered(docs), place(docs, text)
     whole = F.coalesce(F.col(at), F.lit(""))
     found = base.withColumn("_rid", F.monotonically_increasing_id()).withColumn("text_key", F.xxhash64(whole)).withColumn("spans", base_spans(whole))
-    found = found.withColumn("near", F.when(F.size("spans") > 0, contexts(whole, F.col("spans"))))
-    staged = cut_lineage(found if keep_text else found.drop(at), "private-spans")
-    near = staged.where("near is not null").select("_rid", "text_key", F.explode("near").alias("x")).select("_rid", "text_key", "x.*")
-    pairs = cut_lineage(revealing(near, base, at, **options), "private-revealing")
-    extra = near.join(pairs, ["entity", "term"]).groupBy("_rid").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")))).alias("terms"))
-    both = F.concat("spans", F.coalesce(F.col("terms").cast(SPANS), F.array().cast(SPANS)))
-    return staged.join(extra, "_rid", "left").select(*named_back(docs, both.alias("_spans"), skip=() if keep_text else (text,)))
+    staged = cut_lineage(found, "private-spans")
+    texts = staged.select("text_key").distinct().count()
+    outside = F.when(F.size("spans") > 0, generalised(whole, F.col("spans"), "0")).otherwise(whole)
+    words = staged.select("_rid", "text_key", F.explode(terms_of(outside)).alias("term"))
+    held = staged.where(F.size("spans") > 0).select("text_key", F.explode("spans").alias("x")).select("text_key", F.xxhash64("x.kind", "x.value").alias("entity"))
+    terms = cut_lineage(revealing(words.select("text_key", "term"), held, texts, **options), "private-revealing")
+    hits = words.select("_rid", "term").join(terms, "term").groupBy("_rid").agg(F.collect_set("term").alias("terms"))
+
+    def free(spans: Column) -> Column:
+        return F.filter(matches(whole, LETTERS, "term", lambda v: F.array_contains("terms", F.xxhash64(F.lower(v)))), lambda x: ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
+
+    both = F.when(F.col("terms").isNotNull(), F.concat("spans", free(F.col("spans")))).otherwise(F.col("spans"))
+    return staged.join(hits, "_rid", "left").select(*named_back(docs, both.alias("_spans"), skip=() if keep_text else (text,)))
 
 
-def generalised(text: Column, spans: Column) -> Column:
-    """The text with every span, overlapping ones together, replaced by the tag of its kind."""
+def generalised(text: Column, spans: Column, tag: str | None = None) -> Column:
+    """The text with every span, overlapping ones together, replaced by `tag` or that of its kind."""
     ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).when(a["end"] != b["end"], F.when(a["end"] > b["end"], -1).otherwise(1)).otherwise(0))
     tags = F.create_map(*[F.lit(x) for pair in TAGS.items() for x in pair])
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         before = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, tags[s["kind"]])).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, tags[s["kind"]] if tag is None else F.lit(tag))).otherwise(acc["out"]).alias("out"))
 
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.char_length(text)))))
 

@@ -166,6 +166,20 @@ def test_terms_that_reveal_an_entity(spark):
     assert privacy.sanitised(docs).where("doc_id = 0").first().text == text.replace("zorblax", "[TERM]").replace("ann@corp.example", "[EMAIL]")
 
 
+def test_terms_of_rare_entities_and_copied_texts(spark):
+    far = "call number and note with other words " * 4
+    rows = [(1, f"the address ann@corp.example {far} belongs to quixley"), (2, f"quixley wrote a note with number {far}")]
+    rows += [(10 + k, f"call bob@corp.example number {'abcdef'[k % 3] * 4} with zorblax note") for k in range(3)]
+    rows += [(20, rows[2][1])] * 100
+    rows += [(200 + k, f"the address belongs to other words and note with call number wrote {'ghijkl'[k % 6] * (3 + k // 6)}") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = {r.doc_id: {s.value for s in r._spans if s.kind == "term"} for r in privacy.private_spans(docs).collect()}
+    # in one text with its entity and in one without; then one in all three texts, one of them copied 100 times
+    assert terms[1] == {"quixley"} and terms[2] == {"quixley"}
+    assert all("zorblax" in terms[k] for k in (10, 11, 12, 20))
+    assert not any(terms[200 + k] for k in range(100))
+
+
 def quality_counts(text):
     text = text or ""
     word = re.compile(r"[^\x20\x09-\x0D]+")

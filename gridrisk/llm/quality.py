@@ -17,8 +17,10 @@ WINDOW = 8  # words of the windows that repeat
 SKETCH = 400  # KLL size: about 0.7% rank error
 LEAST_ROWS = 200  # a group with fewer rows takes the cutoffs of its language, then the corpus'
 SPREADS = 3.0  # cutoff: the upper quartile and so many times the spread between the quartiles
-#: Measures and the least cutoff each may get, so that a group without spread rejects no ordinary text.
-MEASURES = {"symbol_ratio": 0.25, "dup_line_share": 0.4, "repeat_share": 0.3, "echo_share": 0.3, "word_length": 14.0}
+#: Measures and the least spread each may get, so that a group without spread rejects no ordinary text.
+MEASURES = {"symbol_ratio": 0.02, "dup_line_share": 0.05, "repeat_share": 0.05, "echo_share": 0.02, "word_length": 0.5}
+#: Measures with a lower cutoff too, so many spreads under the lower quartile; of the others less is never worse.
+LOWER = ("word_length",)
 BASE_WORDS, BASE_REPEAT_PERCENT = 20, 30
 
 _GAP = r"[\x20\x09-\x0D]"
@@ -93,7 +95,7 @@ def ratios() -> list[Column]:
 
 
 def cutoffs(rows: DataFrame, keys: tuple[str, str] = ("lang", "source"), least_rows: int = LEAST_ROWS, spreads: float = SPREADS, size: int = SKETCH) -> DataFrame:
-    """Per key pair a cutoff `max_<measure>` for each measure, from merged quantile sketches.
+    """Per key pair a cutoff `max_<measure>`, for some `min_<measure>` too, from merged quantile sketches.
 
     Sketches of the pairs merge into those of the first key and of all rows, which stand in for a
     pair with fewer than `least_rows` rows; nulls among the keys are a group like any other.
@@ -109,19 +111,20 @@ def cutoffs(rows: DataFrame, keys: tuple[str, str] = ("lang", "source"), least_r
     first = sketches.groupBy(F.col(one).alias("one")).agg(F.sum("n").alias("m_n"), *merged)
     joined = sketches.join(first, F.col(one).eqNullSafe(F.col("one")), "left")
 
-    def cutoff(measure: str) -> Column:
+    def cutoff(measure: str) -> list[Column]:
         own, wider = F.col(measure), F.col(f"m_{measure}")
         low, high = (F.when(F.col("n") >= least_rows, F.kll_sketch_get_quantile_double(own, F.lit(q))).when(F.col("m_n") >= least_rows, F.kll_sketch_get_quantile_double(wider, F.lit(q))).otherwise(F.lit(whole[f"{measure}_{q}"]).cast("double")) for q in quartiles)
-        return F.greatest(high + spreads * (high - low), F.lit(MEASURES[measure])).alias(f"max_{measure}")
+        reach = spreads * F.greatest(high - low, F.lit(MEASURES[measure]))
+        return [(high + reach).alias(f"max_{measure}"), *[(low - reach).alias(f"min_{measure}")] * (measure in LOWER)]
 
-    return joined.select(one, two, *[cutoff(m) for m in MEASURES])
+    return joined.select(one, two, *[c for m in MEASURES for c in cutoff(m)])
 
 
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep_text: bool = True, **options) -> DataFrame:
     """All rows and columns of `docs`, with a struct `_quality` of counts, base_failed and kept.
 
     A row fails the base rules with under 20 words or over 30 % of its words in repeated windows;
-    it is kept if it passes them and no measure is above its group's cutoff. Null and empty texts
+    it is kept if it passes them and no measure is beyond its group's cutoffs. Null and empty texts
     have no words and fail. Null languages and sources are groups of their own; repeated rows
     are judged alike; an empty table gives an empty one. Other columns may have any names.
     """
@@ -136,10 +139,12 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     # the cutoffs are one row a group; Spark broadcasts them by their written size, or splits hot groups
     met = rows.join(limits, F.col(groups[0]).eqNullSafe(F.col("g_lang")) & F.col(groups[1]).eqNullSafe(F.col("g_source")), "left")
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEAT_PERCENT * F.col("n_words"))
-    above = F.lit(False)
+    beyond = F.lit(False)
     for measure in MEASURES:
-        above = above | (F.col(measure) > F.col(f"max_{measure}"))
-    verdict = F.struct(*counts, failed.alias("base_failed"), (~failed & ~above).alias("kept"), *[f"max_{m}" for m in MEASURES])
+        beyond = beyond | (F.col(measure) > F.col(f"max_{measure}"))
+    for measure in LOWER:
+        beyond = beyond | (F.col(measure) < F.col(f"min_{measure}"))
+    verdict = F.struct(*counts, failed.alias("base_failed"), (~failed & ~beyond).alias("kept"), *[f"max_{m}" for m in MEASURES], *[f"min_{m}" for m in LOWER])
     return met.select(*named_back(docs, verdict.alias("_quality"), skip=() if keep_text else (text,)))
 
 

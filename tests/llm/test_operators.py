@@ -213,6 +213,20 @@ def test_cutoffs_follow_the_group_and_fall_back(spark):
     assert all(kept[k] for k in range(600)) and not kept[600]
 
 
+def test_cutoffs_are_tighter_where_the_group_is(spark):
+    plain = [" ".join(f"{w}{k}" for w in "some quite plain prose with words that nobody says twice over here since every single word has its number".split()) + f" end{k}" for k in range(300)]
+    words = [f"word{k}" for k in range(100)]
+    bad = [
+        " ".join(words) + " #" * 20,  # 20 symbols for 100 words
+        " ".join([*words, *words[:12]]),  # a fifth of it in repeated windows
+        " ".join("ab"[k % 2] + "cdefgh"[k % 6] for k in range(60)),  # short words
+    ]
+    docs = spark.createDataFrame([(k, x, "en", "a") for k, x in enumerate(plain + bad)], "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r._quality for r in quality.judged(docs).collect()}
+    assert all(found[k].kept for k in range(300)) and not any(found[k].kept for k in (300, 301, 302))
+    assert not found[300].base_failed and not found[301].base_failed
+
+
 def reference_classes(rows):
     shingles, postings = {}, defaultdict(set)
     for k, x in enumerate(rows):

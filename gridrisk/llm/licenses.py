@@ -1,6 +1,7 @@
 """License notices: an exact set-similarity join of text blocks with notice templates.
 
-A block is a line of a text, or a window of a long line. It meets a template if it holds a stated
+A block is a line of a text, or a window of a long line or of the whole text, so that a notice
+wrapped over lines lies in one. It meets a template if it holds a stated
 share of the template's different words. Words are ordered by their frequency over all blocks of
 the corpus, the rarest first; a template's prefix in that order must meet the block, and the sizes
 and the places of the first common word bound what both can share. What is left is counted.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from gridrisk.llm.text import chunks, column, counts, named_back, numbered, place, words
 
 SHARE = 0.9
-BLOCK = 64  # words of a window of a long line; windows begin every BLOCK / 2 words
+BLOCK = 64  # words of a window of a long line or a text; windows begin every BLOCK / 2 words
 
 #: Phrases that name a license wherever their words stand together.
 PHRASES = {
@@ -80,9 +81,17 @@ def blocks_of(data: np.ndarray, begin: np.ndarray, row: np.ndarray, places: np.n
     if not len(places):
         return places, places, places
     line = np.searchsorted(np.flatnonzero(data == 10), begin) + row  # a new text is a new line
+    index, block = windows_of(line, places, size)
+    whole, more = windows_of(row, places, size)
+    index, block = np.concatenate([index, whole]), np.concatenate([block, more + block.max() + 1])
+    return index, block, row[places[index]]
+
+
+def windows_of(line: np.ndarray, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index into places, window) for every window of a line, given by word, that a place lies in."""
     heads = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
     of = np.searchsorted(heads, places, "right") - 1
-    length = np.diff(np.append(heads, len(begin)))
+    length = np.diff(np.append(heads, len(line)))
     half = size // 2
     windows = np.where(length <= size, 1, -(-(length - size) // half) + 1)
     first = np.cumsum(windows) - windows
@@ -95,8 +104,7 @@ def blocks_of(data: np.ndarray, begin: np.ndarray, row: np.ndarray, places: np.n
     alone = np.flatnonzero((windows[of] == 1) & (k > 1))
     index.append(alone)
     block.append(first[of][alone])
-    index, block = np.concatenate(index), np.concatenate(block)
-    return index, block, row[places[index]]
+    return np.concatenate(index), np.concatenate(block)
 
 
 def block_words(data, begin, row, hashed, templates: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

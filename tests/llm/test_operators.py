@@ -67,6 +67,14 @@ def test_licenses_against_all_blocks(small, odd):
         assert got == want
 
 
+def test_licenses_wrapped_over_lines(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation files"
+    far = "\n".join(f"filler{k} line{k} of{k} text{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, bsd), (2, f"{far}\n{mit}\n{far}"), (3, far)], "doc_id long, text string")
+    assert {r.doc_id: (r.labels, r.score) for r in licenses.digest(docs).collect()} == {1: ("bsd", 1.0), 2: ("mit", 1.0), 3: ("", 0.0)}
+
+
 @pytest.mark.parametrize("crowded", [suffixes.CROWDED, 1])
 def test_suffixes_against_all_windows(small, odd, crowded, monkeypatch):
     whole = suffixes.repeated_spans

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridrisk.llm import contamination, licenses, near_duplicates, packing, privacy, quality, sentences, sharding, suffixes, tokens
+from gridrisk.llm import contamination, conversations, histogram_packing, licenses, near_duplicates, packing, privacy, quality, resampling, sentences, sharding, suffixes, tokens
 from gridrisk.session import ship_package
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -57,9 +57,21 @@ def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_packing.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op13_radix_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_suffix_dedup, op3_vector_packing, op4_private_terms, op5_adaptive_quality, op6_order_minhash, op7_sentence_spans, op8_token_blocks, op9_feistel_shards, op10_fm_index)
+    for f in (op1_license_scan, op2_suffix_dedup, op3_vector_packing, op4_private_terms, op5_adaptive_quality, op6_order_minhash, op7_sentence_spans, op8_token_blocks, op9_feistel_shards, op10_fm_index, op11_auction_repair, op12_histogram_packing, op13_radix_resampling)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -206,6 +206,48 @@ def area_share(t: Tables):
     return out.withColumn("fraction", F.round("fraction", 9))
 
 
+OVERLAP_SQL = (
+    f"WITH {WITH_GRID}, {N_ROWS_SQL}, f AS (SELECT cell_id, 1e2 + x_index * 5e2 - cell_id % 7 * 5e1 AS a, 1e2 + x_index * 5e2 + 3e2 + cell_id % 700 AS b, "
+    "y_index * 5e2 + cell_id % 3 * 1e2 AS top, y_index * 5e2 + cell_id % 3 * 1e2 + 45e1 + cell_id % 5 * 1e2 AS low FROM grid), "
+    # every cut of a cell by the edges of the boxes that meet it, in whole steps of 50 by 1 metres at the finest
+    "cells AS (SELECT r * 40 + k AS cell_id, k * 5e2 AS x0, r * 5e2 AS y0, greatest(a, k * 5e2) AS a, least(b, k * 5e2 + 5e2) AS b, greatest(top, r * 5e2) AS top, least(low, r * 5e2 + 5e2) AS low "
+    "FROM f, n, range(0, 40) g(k), range(0, n_rows) h(r) WHERE a < k * 5e2 + 5e2 AND b > k * 5e2 AND top < r * 5e2 + 5e2 AND low > r * 5e2), "
+    "ys AS (SELECT DISTINCT cell_id, y FROM (SELECT cell_id, top AS y FROM cells UNION ALL SELECT cell_id, low FROM cells)), "
+    "bands AS (SELECT cell_id, y, lead(y) OVER (PARTITION BY cell_id ORDER BY y) AS y2 FROM ys), "
+    "hit AS (SELECT c.cell_id, g.y, g.y2, c.a, c.b FROM bands g JOIN cells c ON c.cell_id = g.cell_id AND c.top <= g.y AND c.low >= g.y2), "
+    "runs AS (SELECT *, max(b) OVER (PARTITION BY cell_id, y ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hit), "
+    "area AS (SELECT cell_id, sum((y2 - y) * greatest(b - greatest(a, coalesce(reach, a)), 0)) / 25e4 AS fraction, sum((y2 - y) * (b - a)) / 25e4 AS added FROM runs GROUP BY cell_id) "
+)
+
+
+def overlapping_boxes(t: Tables):
+    """A box for every cell, up to three cells wide and two high, so that neighbours overlap."""
+    cell, size = F.col("cell_id"), F.lit(500.0)
+    left = F.lit(6e5 + 100.0) + F.col("x_index") * size - cell % 7 * 50.0
+    right = F.lit(6e5 + 100.0) + F.col("x_index") * size + 300.0 + cell % 700
+    top = F.lit(52e5) - F.col("y_index") * size - cell % 3 * 100.0
+    low = top - 450.0 - cell % 5 * 100.0
+    ring = _ring((left, low), (right, low), (right, top), (left, top))
+    return t.grid().select(cell.alias("geom_id"), geo.edges(ring).alias("sides"))
+
+
+@query(
+    "c08_overlapping_share",
+    OVERLAP_SQL + "SELECT cell_id, round(fraction, 9) AS fraction, fraction >= 45e-2 AS is_covered FROM area WHERE fraction > 1e-9",
+)
+def overlapping_share(t: Tables):
+    out = sp.area_shares(overlapping_boxes(t), spec(t), 0.45)
+    return out.withColumn("fraction", F.round("fraction", 9))
+
+
+@query(
+    "c08_overlapping_cells",
+    OVERLAP_SQL + "SELECT cell_id, round(added / fraction, 6) AS times FROM area WHERE added > fraction + 1e-9",
+)
+def overlapping_cells(t: Tables):
+    return sp.overlapping_cells(overlapping_boxes(t), spec(t)).withColumn("times", F.round("times", 6))
+
+
 @query(
     "c08_area_conserved",
     f"WITH {WITH_POINTS}, {N_ROWS_SQL} SELECT fire_id AS geom_id, round(2 * r * r, 2) AS area FROM points, n WHERE x - r > 6e5 AND x + r < 62e4 AND y + r < 52e5 AND y - r > 52e5 - n_rows * 5e2",

@@ -13,72 +13,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridrisk.functions import geometry as geo
+from gridrisk.operators import overlay
 from gridrisk.operators.grid import GridSpec
 from gridrisk.session import cut_lineage
 
-# rows of cells one task takes of a polygon before its rows are dealt to others
-BAND_ROWS = 64
+def cell_edges(polygons: DataFrame, spec: GridSpec, sides: str = "sides") -> DataFrame:
+    """(geom_id, x1 ... y2, u1 ... v2, weight): the edges one by one, their ends in cells east and south.
 
-
-def _candidates(polygons: DataFrame, spec: GridSpec, sides: str, margin: float) -> DataFrame:
-    """Every edge with each cell whose box touches its polygon's bounding box, widened by a margin.
-
-    A large polygon is cut into bands of grid rows that are dealt out over the tasks before its
-    cells are listed.
+    They are dealt out over the tasks first, since what follows lists many rows for each.
     """
-    box = geo.bounds(F.col(sides))
-    pad = F.lit(float(margin))
-
-    def held(index: Column, last: int) -> Column:
-        return F.least(F.greatest(index, F.lit(0)), F.lit(last)).cast("int")
-
-    framed = polygons.select("geom_id", sides, *(v.alias(f"_{k}") for k, v in box.items()))
-    framed = framed.withColumns(
-        {
-            "_c0": held(spec.column_of(F.col("_minx") - pad), spec.n_cols - 1),
-            "_c1": held(spec.column_of(F.col("_maxx") + pad), spec.n_cols - 1),
-            "_r0": held(spec.row_of(F.col("_maxy") + pad), spec.n_rows - 1),
-            "_r1": held(spec.row_of(F.col("_miny") - pad), spec.n_rows - 1),
-        }
-    )
-    banded = framed.withColumn(
-        "_band", F.explode(F.sequence(F.col("_r0"), F.col("_r1"), F.lit(BAND_ROWS)))
-    )
-    # edges before cells, so that the rows listed carry numbers only and no vertex array
-    lined = banded.select("geom_id", "_band", "_c0", "_c1", "_r1", F.inline(sides))
-    # a stated number of partitions: adaptive execution would merge them by their present size,
-    # before the cells are listed
+    lined = polygons.select("geom_id", F.inline(sides))
+    # a stated number of partitions: adaptive execution would merge them by their present size
     tasks = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lined.repartition(tasks, "geom_id", "_band")
-    last = F.least(F.col("_band") + BAND_ROWS - 1, F.col("_r1"))
-    rows = dealt.withColumn("_row", F.explode(F.sequence(F.col("_band"), last)))
-    return rows.withColumn("_col", F.explode(F.sequence("_c0", "_c1"))).withColumn(
-        "cell_id", F.col("_row").cast("bigint") * spec.n_cols + F.col("_col")
-    )
-
-
-def _edge_cells(listed: DataFrame, spec: GridSpec) -> DataFrame:
-    """The candidates with the signed area under their edge; no lambda is run."""
-    return geo.with_area_under_edges(listed, spec.box(F.col("_col"), F.col("_row")))
-
-
-# grouping by the keys the rows were dealt out by adds no shuffle
-CELL_KEYS = ("geom_id", "_band", "_row", "_col", "cell_id")
+    size, left, top = F.lit(float(spec.resolution)), F.lit(float(spec.xmin)), F.lit(float(spec.ymax))
+    east = {f"u{k}": (F.col(f"x{k}") - left) / size for k in (1, 2)}
+    south = {f"v{k}": (top - F.col(f"y{k}")) / size for k in (1, 2)}
+    dealt = lined.repartition(tasks, "geom_id", "x1", "y1")
+    return dealt.withColumns({**east, **south, "weight": F.lit(1)})
 
 
 def polygon_cells(
-    polygons: DataFrame, spec: GridSpec, sides: str = "sides", tolerance: float = 1e-9
+    polygons: DataFrame, spec: GridSpec, sides: str = "sides", tolerance: float = overlay.TOLERANCE
 ) -> DataFrame:
     """(geom_id, cell_id, area) of every cell whose interior a polygon overlaps.
 
-    Touching an edge is not overlapping.
+    Touching an edge is not overlapping. Edges list the cells they cross, and each row of a polygon
+    is filled between them, so the work grows with the outline and the rows returned.
     """
-    rows = _edge_cells(_candidates(polygons, spec, sides, 0.0), spec)
-    return (
-        rows.groupBy(*CELL_KEYS)
-        .agg(F.abs(F.sum("_under")).alias("area"))
-        .where(F.col("area") > tolerance * spec.resolution**2)
-        .select("geom_id", "cell_id", "area")
+    pieces = overlay.walked(cell_edges(polygons, spec, sides), ["geom_id"], spec.n_cols, spec.n_rows)
+    found = overlay.filled(pieces, ["geom_id"], spec.n_cols)
+    cell = F.col("row").cast("bigint") * spec.n_cols + F.col("col")
+    return found.where(F.abs("share") > tolerance).select(
+        "geom_id", cell.alias("cell_id"), (F.abs("share") * float(spec.resolution) ** 2).alias("area")
     )
 
 
@@ -103,19 +69,45 @@ def buffered_cells(
     """(geom_id, cell_id) of every cell the polygon grown by `radius` overlaps.
 
     The grown polygon is never built: a cell overlaps it when it overlaps the polygon or lies
-    nearer than the radius.
+    nearer than the radius to an edge. An edge proposes, row by row, the cells within the radius
+    of the part of it that is within the radius of the row.
     """
-    rows = _edge_cells(_candidates(polygons, spec, sides, radius), spec)
+    inside = polygon_cells(polygons, spec, sides).select("geom_id", "cell_id")
+    r = F.lit(float(radius) / spec.resolution)
+    u1, v1, u2, v2 = (F.col(c) for c in ("u1", "v1", "u2", "v2"))
+
+    def held(index: Column, last: int) -> Column:
+        return F.least(F.greatest(index, F.lit(-1)), F.lit(last + 1))
+
+    rows = cell_edges(polygons, spec, sides).withColumns(
+        {
+            "_n": F.greatest(held(F.floor(F.least(v1, v2) - r), spec.n_rows - 1), F.lit(0)),
+            "_s": F.least(held(F.floor(F.greatest(v1, v2) + r), spec.n_rows - 1), F.lit(spec.n_rows - 1)),
+        }
+    ).where("_n <= _s")
+    rows = rows.withColumn("_row", F.explode(F.sequence("_n", "_s")))
+    low, high = F.col("_row") - r, F.col("_row") + 1 + r
+
+    def near(v: Column) -> Column:
+        """Where the edge is at the nearest height to v that the band and the edge share."""
+        height = F.least(F.greatest(v, low), high)
+        return F.when(v1 == v2, F.when(v == v1, u1).otherwise(u2)).otherwise(u1 + (height - v1) * (u2 - u1) / (v2 - v1))
+
+    rows = rows.withColumns({"_a": F.when(v1 == v2, u1).otherwise(near(v1)), "_b": F.when(v1 == v2, u2).otherwise(near(v2))})
+    rows = rows.withColumns(
+        {
+            "_w": F.greatest(held(F.floor(F.least("_a", "_b") - r), spec.n_cols - 1), F.lit(0)),
+            "_e": F.least(held(F.floor(F.greatest("_a", "_b") + r), spec.n_cols - 1), F.lit(spec.n_cols - 1)),
+        }
+    ).where("_w <= _e")
+    cells = rows.withColumn("_col", F.explode(F.sequence("_w", "_e")))
     gap = _edge_box_distance(*spec.box(F.col("_col"), F.col("_row")))
-    return (
-        rows.groupBy(*CELL_KEYS)
-        .agg(F.abs(F.sum("_under")).alias("_area"), F.min(gap).alias("_gap"))
-        .where(
-            (F.col("_area") > 1e-9 * spec.resolution**2)
-            | (F.col("_gap") < radius * (1 - 1e-12))
-        )
-        .select("geom_id", "cell_id")
-    )
+    # an edge that enters the cell is no distance away, wherever its ends are
+    enters = overlay.walked(cell_edges(polygons, spec, sides), ["geom_id"], spec.n_cols, spec.n_rows).where("col >= 0")
+    cell = F.col("_row").cast("bigint") * spec.n_cols + F.col("_col")
+    close = cells.where(gap < radius * (1 - 1e-12)).select("geom_id", cell.alias("cell_id"))
+    crossed = enters.select("geom_id", (F.col("row").cast("bigint") * spec.n_cols + F.col("col")).alias("cell_id"))
+    return inside.unionByName(close).unionByName(crossed).distinct() if radius > 0 else inside
 
 
 def area_shares(
@@ -123,19 +115,22 @@ def area_shares(
 ) -> DataFrame:
     """Share of each touched cell a layer covers, and whether it reaches the threshold.
 
-    The features of the layer must not overlap one another; `overlapping_cells` finds those that
-    do.
+    What several features cover counts once, as if the layer had been dissolved. Features that are
+    equal edge by edge are taken once from the start.
     """
-    covered = polygon_cells(polygons, spec, sides)
-    share = F.sum("area") / F.lit(float(spec.resolution) ** 2)
-    return covered.groupBy("cell_id").agg(share.alias("fraction")).withColumn(
+    same = polygons.groupBy(F.xxhash64(sides).alias("_hash"), F.col(sides).alias("sides")).agg(F.min("geom_id").alias("geom_id"))
+    edges = cell_edges(same, spec).withColumnRenamed("geom_id", "geom").select("geom", "u1", "v1", "u2", "v2", "weight")
+    shares = overlay.union_shares(edges, spec.n_cols, spec.n_rows)
+    return shares.select(F.col("cell").cast("bigint").alias("cell_id"), F.col("share").alias("fraction")).withColumn(
         "is_covered", F.col("fraction") >= threshold
     )
 
 
-def overlapping_cells(shares: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Cells a layer covers more than once over."""
-    return shares.where(F.col("fraction") > 1.0 + tolerance)
+def overlapping_cells(polygons: DataFrame, spec: GridSpec, sides: str = "sides", tolerance: float = 1e-9) -> DataFrame:
+    """(cell_id, times): cells where the features of a layer add up to more than they cover together."""
+    added = polygon_cells(polygons, spec, sides).groupBy("cell_id").agg((F.sum("area") / float(spec.resolution) ** 2).alias("_sum"))
+    both = added.join(area_shares(polygons, spec, 0.0, sides), "cell_id")
+    return both.where(F.col("_sum") > F.col("fraction") + tolerance).select("cell_id", (F.col("_sum") / F.col("fraction")).alias("times"))
 
 
 def points_in_polygons(
@@ -148,42 +143,36 @@ def points_in_polygons(
 ) -> DataFrame:
     """Every point with each polygon that contains it.
 
-    A polygon goes to the buckets its bounding box meets, carrying to each only the edges a ray to
-    the right of a point there can cross.
+    A polygon goes to the buckets that its edges cross, carrying to each only the edges of its row
+    that a ray to the right of a point there can cross, and to those between them, where a point
+    needs no test. What lies in the polygon's box and not in the polygon is never listed.
     """
     size = F.lit(float(bucket))
-    box = geo.bounds(F.col(sides))
-    spread = (
-        polygons.withColumns(
-            {
-                "_bx": F.explode(
-                    F.sequence(F.floor(box["minx"] / size), F.floor(box["maxx"] / size))
-                )
-            }
-        )
-        .withColumn(
-            "_by",
-            F.explode(F.sequence(F.floor(box["miny"] / size), F.floor(box["maxy"] / size))),
-        )
-        .withColumn(
-            "_sides",
-            F.filter(
-                sides,
-                lambda e: (F.greatest(e["y1"], e["y2"]) >= F.col("_by") * size)
-                & (F.least(e["y1"], e["y2"]) <= (F.col("_by") + 1) * size)
-                & (F.greatest(e["x1"], e["x2"]) >= F.col("_bx") * size),
-            ),
-        )
-        .where(F.size("_sides") > 0)
-        .select("geom_id", "_bx", "_by", "_sides")
-    )
+    lined = polygons.select("geom_id", F.inline(sides))
+    ends = {f"{a}{k}": F.col(f"{c}{k}") / size for a, c in (("u", "x"), ("v", "y")) for k in (1, 2)}
+    edges = lined.withColumns({**ends, "weight": F.lit(1)})
+    # an edge near a bucket's border counts for both, so that rounding never decides
+    pieces = overlay.walked(edges, ["geom_id"], None, None, slack=1e-9)
+    crossed, spans = overlay.covered(pieces, ["geom_id"], None)
+    inner = spans.where(F.round(F.abs("share")) % 2 == 1).withColumn("col", F.explode(F.sequence("first", "last")))
+    north = F.floor(F.least("v1", "v2") - 1e-9)
+    south = F.greatest(north, F.ceil(F.greatest("v1", "v2") + 1e-9) - 1)
+    edge = F.struct("x1", "y1", "x2", "y2")
+    by_row = edges.withColumn("row", F.explode(F.sequence(north, south))).groupBy("geom_id", "row").agg(F.collect_list(edge).alias("_row"))
+    right = F.filter("_row", lambda e: F.greatest(e["x1"], e["x2"]) >= F.col("col") * size)
+    tested = crossed.select("geom_id", "row", "col").join(by_row, ["geom_id", "row"]).withColumn("_sides", right)
+    whole = inner.select("geom_id", "row", "col", F.lit(True).alias("_whole"))
+    spread = whole.withColumn("_sides", F.lit(None).cast(tested.schema["_sides"].dataType)).unionByName(
+        tested.select("geom_id", "row", "col", F.lit(False).alias("_whole"), "_sides")
+    )
+    spread = spread.select("geom_id", F.col("col").alias("_bx"), F.col("row").alias("_by"), "_whole", "_sides")
     placed = points.withColumns(
         {"_bx": F.floor(F.col(x) / size), "_by": F.floor(F.col(y) / size)}
     )
     return (
         placed.join(spread, ["_bx", "_by"])
-        .where(geo.contains(F.col("_sides"), F.col(x), F.col(y)))
-        .drop("_bx", "_by", "_sides")
+        .where(F.col("_whole") | geo.contains(F.col("_sides"), F.col(x), F.col(y)))
+        .drop("_bx", "_by", "_whole", "_sides")
     )
 
 

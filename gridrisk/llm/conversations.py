@@ -30,6 +30,7 @@ from gridrisk.session import cut_lineage
 
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3  # costs
 STRETCH = 32  # layers of an auction
+TOGETHER = 1 << 12  # stretches of a conversation that one task takes
 REMEMBERED = 20_000  # stretches of rows whose prices a task keeps
 
 NONE, SYSTEM, USER, ASSISTANT = range(4)
@@ -234,7 +235,6 @@ def faults(rows: DataFrame) -> DataFrame:
     marks = [(F.length(trimmed) == 0).alias("blank"), (~F.right(trimmed, F.lit(1)).isin(".", "!", "?")).alias("cut")]
     rows = rows.select(*KEYS, *marks)
     kinds = rows.groupBy(*KEYS).agg(F.count("*").alias("copies"), F.first("blank").alias("blank"), F.first("cut").alias("cut"))
-    kinds = cut_lineage(kinds, "conversation-rows")
     firsts = kinds.groupBy("conv", "role", "digest").agg(F.min(F.struct(F.col("turn").isNotNull(), "turn")).getField("turn").alias("turn"))
     # the first of its role and text is marked by meeting itself again, nulls included
     none = [F.lit(None).cast(t).alias(n) for n, t in (("copies", "long"), ("blank", "boolean"), ("cut", "boolean"))]
@@ -258,22 +258,25 @@ def repair_plan(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = {n: found.schema[n].dataType.simpleString() for n in (*KEYS[1:], "copies", "blank", "repeated", "cut", "kind")}
     head = f"conv {found.schema['conv'].dataType.simpleString()}, id bigint"
 
-    def stretched(items: DataFrame, order: list[str], lists: dict[str, str], solve: Callable) -> DataFrame:
-        sorted_ = items.repartitionByRange(*order).sortWithinPartitions(*order)
-        schema = ", ".join([head, *(f"{n} array<{t}>" for n, t in lists.items()), PRICES])
-        return cut_lineage(sorted_.mapInArrow(lambda batches: _stretches(batches, list(lists), solve), schema), "conversation-stretches")
+    def stretched(items: DataFrame, dealt: list[str], order: list[str], lists: dict[str, str], solve: Callable) -> DataFrame:
+        sorted_ = items.repartitionByRange(*dealt).sortWithinPartitions(*order).select("conv", *lists)
+        # prices of the children are read and not handed on
+        own = {n: t for n, t in lists.items() if n not in ("cost", "rank")}
+        schema = ", ".join([head, *(f"{n} array<{t}>" for n, t in own.items()), PRICES])
+        return cut_lineage(sorted_.mapInArrow(lambda batches: _stretches(batches, list(own), solve), schema), "conversation-stretches")
 
-    levels = [stretched(found.select("conv", *kept), KEYS, kept, _price_rows)]
+    levels = [stretched(found, KEYS, KEYS, kept, _price_rows)]
     whole: list[DataFrame] = []  # conversations of one stretch, by level
     while True:
         items = levels[-1].select("conv", "id", "cost", "rank")
-        many = cut_lineage(items.groupBy("conv").agg(F.count("*").alias("n")).where("n > 1").select(F.col("conv").alias("_conv")), "conversation-long")
+        many = cut_lineage(items.groupBy("conv").agg(F.count("*").alias("n")).where("n > 1").select(F.col("conv").alias("_conv"), F.col("n").alias("_n")), "conversation-long")
         same = F.col("conv").eqNullSafe(F.col("_conv"))
         whole.append(items.join(many, same, "left_anti"))
         if many.isEmpty():
             break
-        parts = items.join(many, same, "left_semi").withColumnRenamed("id", "child")
-        higher = stretched(parts, ["conv", "child"], {"child": "bigint"}, _price_stretches)
+        # a conversation of no more than TOGETHER stretches stays in one task, so that none is cut again
+        parts = items.join(many, same).withColumnRenamed("id", "child").withColumn("_deal", F.when(F.col("_n") > TOGETHER, F.col("child")).otherwise(F.lit(0)))
+        higher = stretched(parts, ["conv", "_deal"], ["conv", "child"], {"child": "bigint", "cost": "array<bigint>", "rank": "array<bigint>"}, _price_stretches)
         # numbers of stretches differ between levels
         levels.append(higher.withColumn("id", F.col("id") + F.lit(len(levels) << 56)))
     ends = [F.struct((F.col("cost")[k] + cost).alias("cost"), F.col("rank")[k].alias("rank"), F.lit(k).alias("last")) for k, (cost, _) in ENDS.items()]

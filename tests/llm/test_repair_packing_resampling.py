@@ -40,6 +40,7 @@ def test_repairs_against_every_cheapest_path(spark, talks, stretch, monkeypatch)
     # the stretch is bound where the tasks' function is made
     whole = conversations._stretches
     monkeypatch.setattr(conversations, "STRETCH", stretch)
+    monkeypatch.setattr(conversations, "TOGETHER", stretch)
     monkeypatch.setattr(conversations, "_stretches", lambda *given: (setattr(conversations, "STRETCH", stretch), whole(*given))[1])
     got = Counter(tuple(r) for r in conversations.digest(talks).collect())
     want = Counter(brute_repair.digests([tuple(r)[:4] for r in talks.collect()]))

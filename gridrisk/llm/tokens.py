@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridrisk.llm import encoding
 from gridrisk.llm.text import column, numbered, place
 from gridrisk.session import cut_lineage, fresh_path
 
@@ -23,108 +24,16 @@ END = 0  # the id after each document
 BLOCK = 1024  # ids of a block
 SHARE = 95  # percent of a block's ids that its bit width must hold
 SEGMENT = 1 << 17  # ids after which a file row is full
-REMEMBERED = 500_000  # words whose ids a task keeps, about 110 MB
 
 MAGIC = b"PFOR"
 
 
-class Encoder:
-    """Ids of texts as little-endian 32-bit strings, by the tokenizers library.
-
-    A text is cut at single blanks between other characters, where no token of a byte-level
-    vocabulary reaches across, and the ids of each word are remembered. Words that begin or end in
-    white space are encoded together with their neighbours. Strings of special tokens are text.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.path, self.whole, self.parted = path, None, Tokenizer.from_file(path)
-        # words are learnt many in one text, with a special token between them
-        special = self.parted.get_added_tokens_decoder()
-        self.mark_id, self.mark = next(((k, t.content) for k, t in special.items() if t.special and not t.lstrip and not t.rstrip), (None, None))
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        if self.whole is None:
-            from tokenizers import Tokenizer
-
-            self.whole = Tokenizer.from_file(self.path)
-            self.whole.encode_special_tokens = True
-        return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(words)
-        new = [w for w in new if w and len(w.strip()) == len(w)]
-        plain = new if self.mark is None else [w for w in new if self.mark not in w]
-        if len(plain) < len(new) or self.mark is None:
-            rest = new if self.mark is None else [w for w in new if self.mark in w]
-            known.update(zip(rest, self._ids([before + w for w in rest]), strict=True))
-            plain = [] if self.mark is None else plain
-        between = f"{self.mark}{before}"
-        groups = [plain[k : k + 256] for k in range(0, len(plain), 256)]
-        for group, found in zip(groups, self.parted.encode_batch_fast([before + between.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            raw = ids.tobytes()
-            ends = [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), len(raw)]
-            start = 0
-            for word, end in zip(group, ends, strict=True):
-                known[word] = raw[start:end]
-                start = end + 4
-
-    def _joined(self, parts: list[str]) -> bytes | None:
-        ids = list(map(self.later.get, parts))
-        ids[0] = self.first.get(parts[0])
-        try:
-            return b"".join(ids)
-        except TypeError:  # a word at white space
-            return None
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in split}, "")
-        self._learn(self.later, set().union(*[p[1:] for p in split]), " ")
-        out = [self._joined(p) for p in split]
-        for k, x in enumerate(out):
-            if x is None:
-                out[k] = b"".join(self._ids(self._pieces(split[k])))
-        return out
-
-    @staticmethod
-    def _pieces(parts: list[str]) -> list[str]:
-        """The text again, cut only where both sides of a blank are no white space."""
-        pieces = [parts[0]]
-        for before, word in zip(parts, parts[1:], strict=False):
-            if before and word and not before[-1].isspace() and not word[0].isspace():
-                pieces.append(" " + word)
-            else:
-                pieces[-1] += " " + word
-        return pieces
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The encoder of this Python process, which later tasks find again."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
-def encoded(texts: pa.Array, path: str, at_once: int = 512) -> Iterator[tuple[int, bytes]]:
-    """(place, ids) of each text, null being empty, a few hundred at a time."""
-    own = encoder(path)
-    for first in range(0, len(texts), at_once):
-        some = [t or "" for t in texts.slice(first, at_once).to_pylist()]
-        for k, ids in enumerate(own.encode(some)):
-            yield first + k, ids
+def encoded(texts: pa.Array, path: str) -> Iterator[tuple[int, bytes]]:
+    """(place, ids as a little-endian 32-bit string) of each text, null being empty."""
+    for first, ids, bounds in encoding.encoded(texts, path):
+        raw, ends = ids.astype("<u4", copy=False).tobytes(), (4 * bounds).tolist()
+        for k, (begin, end) in enumerate(zip(ends, ends[1:], strict=False), first):
+            yield k, raw[begin:end]
 
 
 def pack(ids: np.ndarray, block: int = BLOCK, share: int = SHARE) -> bytes:

@@ -1,4 +1,4 @@
-"""Section I with the learners: rows only, since no SQL engine fits the same trees."""
+"""Section I with the learners: what does not depend on the learner has a SQL twin."""
 
 from __future__ import annotations
 
@@ -185,3 +185,43 @@ def adversarial(t: Tables):
         F.lit(top[0]).alias("top_feature"),
         F.lit(top[1]).alias("top_importance"),
     )
+
+
+SCORED_FROM, SCORED_DAYS = "2000-01-01", 366
+
+
+@query(
+    "i29_fitted_days",
+    "WITH d AS (SELECT CAST(l_shipdate AS DATE) AS date, CASE WHEN l_orderkey % 17 > 0 THEN l_quantity END AS quantity FROM lineitem WHERE l_shipdate >= DATE '2000-01-01' AND l_shipdate < DATE '2001-01-01') "
+    "SELECT date, count(*) AS cells, count(*) FILTER (quantity IS NULL) AS without_quantity, true AS loaded_agrees, true AS ranks_follow, true AS probabilities_follow FROM d GROUP BY date",
+)
+def fitted_days(t: Tables):
+    """A model of the years before 2000, saved, loaded, and applied to every row of the next year.
+
+    What does not depend on the learner is checked: the loaded model gives the fresh one's scores,
+    and rank and probability rise with the raw score within each day.
+    """
+    from pyspark.sql import Window
+
+    from gridrisk.plans import shipped as sh
+    from gridrisk.session import fresh_path
+
+    table = rows(t)
+    fresh = sh.ship(table.where("year < 2000"), SPEC, "fold", 2, log_offset=-3.0, window_offset=0.2)
+    path = fresh_path(t.spark, "shipped-model")
+    fresh.save(t.spark, path)
+    loaded = sh.Shipped.load(t.spark, path)
+    later = table.where("year >= 2000")
+    scored = sh.scored_days(later, loaded, SCORED_FROM, SCORED_DAYS, FEATURES, ["row_id"])
+    named = scored.withColumnRenamed("probability", "chance").withColumn("label", F.lit(0))
+    both = ml.predict(fresh.model, named, SPEC, "fresh").withColumnRenamed("chance", "probability")
+    day = Window.partitionBy("date").orderBy("raw")
+    step = both.withColumns({f"_{c}": F.col(c) - F.lag(c).over(day) for c in ("raw", "rank", "probability")})
+    first = F.col("_rank").isNull()
+    return step.groupBy("date").agg(
+        F.count("*").alias("cells"),
+        F.count_if(F.col("quantity").isNull()).alias("without_quantity"),
+        F.bool_and(F.col("raw") == F.col("fresh")).alias("loaded_agrees"),
+        F.bool_and(first | ((F.col("_raw") > 0) == (F.col("_rank") > 0))).alias("ranks_follow"),
+        F.bool_and(first | (F.col("_probability") >= 0)).alias("probabilities_follow"),
+    )

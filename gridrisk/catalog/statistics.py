@@ -16,6 +16,8 @@ from gridrisk.catalog.standins import (
     Tables,
 )
 from gridrisk.functions import calendar, lookup, physics
+from gridrisk.functions.statistics import garwood
+from gridrisk.operators import bootstrap as bs
 from gridrisk.operators import calibration as cal
 from gridrisk.operators import evaluation as evl
 from gridrisk.operators import events as ev
@@ -181,42 +183,48 @@ def balanced_log_loss(t: Tables):
     return out.withColumn("log_loss", F.round("log_loss", 8))
 
 
-def _poisson_sql(value: str) -> str:
-    total, arms = 0.0, []
-    for k in range(12):
-        total += math.exp(-1.0) / math.factorial(k)
-        arms.append(f"WHEN {value} < {total!r}::DOUBLE THEN {k}")
-    return f"CASE {' '.join(arms)} ELSE 12 END"
-
-
-RESAMPLES = 20
-DRAW_SQL = hash_sql(3, "replicate", "{key}") + " / 1152921504606846976e0"
+PRIME = bs.PRIME
+FACTOR, ADDEND = "'factor'", "'addend'"
+RESAMPLE_SQL = (
+    f"rep AS (SELECT replicate, 1 + {hash_sql(3, FACTOR, 'replicate')} % {PRIME - 1} AS f, {hash_sql(3, ADDEND, 'replicate')} % {PRIME} AS a FROM range(0, {bs.RESAMPLES}) g(replicate))"
+)
+# counts with the cumulative probability below each, for every mean there is
+STEPS_SQL = (
+    "m AS (SELECT n, k, coalesce(sum(p) OVER (PARTITION BY n ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low "
+    "FROM (SELECT n, k, exp(k * ln(n) - n - lgamma(k + 1)) AS p FROM (SELECT n, unnest(range(0, CAST(n + 12 * sqrt(n) + 40 AS BIGINT))) AS k FROM (SELECT DISTINCT n FROM classes))))"
+)
 
 
 @query(
     "i08_bootstrap_intervals",
-    f"WITH {WITH_SCORES}, u AS (SELECT replicate, label, score, {DRAW_SQL.format(key='row_id')} AS u FROM scores, range(0, {RESAMPLES}) g(replicate)), "
-    f"d AS (SELECT replicate, label, score, {_poisson_sql('u')} AS copies FROM u), k AS (SELECT * FROM d WHERE copies > 0), "
+    f"WITH {WITH_SCORES}, {RESAMPLE_SQL}, classes AS (SELECT score, label, count(*) AS n, any_value({hash_sql(3, 'label', 'score')} % {PRIME}) AS h FROM scores GROUP BY 1, 2), {STEPS_SQL}, "
+    f"u AS (SELECT replicate, score, label, n, ((f * h + a) % {PRIME}) / {PRIME}e0 AS u FROM classes, rep), "
+    "d AS (SELECT replicate, score, label, m.k AS copies FROM u ASOF JOIN m ON u.n = m.n AND u.u >= m.low), k AS (SELECT * FROM d WHERE copies > 0), "
     + AP_SQL.format(by="replicate,", w="copies", source="k", part="PARTITION BY replicate")
-    + f", m AS (SELECT replicate, {AP_OUT}, any_value(p) / any_value(n_all) AS rate FROM r GROUP BY replicate) "
+    + f", m2 AS (SELECT replicate, {AP_OUT}, any_value(p) / any_value(n_all) AS rate FROM r GROUP BY replicate) "
     "SELECT metric, round(quantile_cont(v, 25e-3), 6) AS lo, round(quantile_cont(v, 975e-3), 6) AS hi, count(*) AS resamples FROM ("
-    "SELECT 'auprc' AS metric, auprc AS v FROM m UNION ALL SELECT 'auroc', auroc FROM m UNION ALL SELECT 'lift', auprc / rate FROM m) GROUP BY metric",
+    "SELECT 'auprc' AS metric, auprc AS v FROM m2 UNION ALL SELECT 'auroc', auroc FROM m2 UNION ALL SELECT 'lift', auprc / rate FROM m2) GROUP BY metric",
 )
 def bootstrap_intervals(t: Tables):
-    drawn = evl.bootstrap(t.scores(), "label", "score", "row_id", RESAMPLES, 3)
+    drawn = bs.score_resamples(t.scores(), "label", "score", seed=3)
     out = evl.intervals(drawn, ["auprc", "auroc", "lift"])
     return out.withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)})
 
 
 @query(
     "i09_paired_median_gap",
-    f"WITH {WITH_CELL_DAYS}, days AS (SELECT DISTINCT date FROM cell_days), u AS (SELECT replicate, date, {DRAW_SQL.format(key='date')} AS u FROM days, range(0, {RESAMPLES}) g(replicate)), "
-    f"w AS (SELECT replicate, date, {_poisson_sql('u')} AS copies FROM u), x AS (SELECT replicate, raw, raw * raw AS other, unnest(range(0, copies)) AS copy FROM cell_days JOIN w USING (date) WHERE copies > 0) "
-    "SELECT CAST(replicate AS INT) AS replicate, round(median(other) - median(raw), 8) AS gap FROM x GROUP BY replicate",
+    f"WITH {WITH_CELL_DAYS}, {RESAMPLE_SQL}, classes AS (SELECT DISTINCT date, 1 AS n, {hash_sql(3, 'date')} % {PRIME} AS h FROM cell_days), {STEPS_SQL}, "
+    f"u AS (SELECT replicate, date, n, ((f * h + a) % {PRIME}) / {PRIME}e0 AS u FROM classes, rep), "
+    "w AS (SELECT replicate, date, m.k AS copies FROM u ASOF JOIN m ON u.n = m.n AND u.u >= m.low), "
+    "v AS (SELECT date, raw, count(*) AS n FROM cell_days GROUP BY 1, 2), x AS (SELECT replicate, raw, sum(copies * v.n) AS n FROM v JOIN w USING (date) WHERE copies > 0 GROUP BY 1, 2), "
+    "r AS (SELECT replicate, raw, sum(n) OVER (PARTITION BY replicate ORDER BY raw) AS upto, sum(n) OVER (PARTITION BY replicate) AS total FROM x), "
+    "e AS (SELECT replicate, min(raw) FILTER (upto > (total - 1) // 2) AS lo, min(raw) FILTER (upto > total // 2) AS hi FROM r GROUP BY replicate) "
+    # the second column is the square of the first, which keeps the order
+    "SELECT CAST(replicate AS INT) AS replicate, round((lo * lo + hi * hi) / 2 - (lo + hi) / 2, 8) AS gap FROM e",
 )
 def paired_median_gap(t: Tables):
     rows = t.cell_days().withColumn("other", F.col("raw") * F.col("raw"))
-    out = evl.paired_median_gaps(rows, "date", "raw", "other", RESAMPLES, 3)
+    out = bs.paired_median_gaps(rows, "date", "raw", "other", seed=3)
     return out.withColumn("gap", F.round("gap", 8))
 
 
@@ -246,9 +254,16 @@ def calibration_error(t: Tables):
     return evl.calibration_error(bins).select(F.round("ece", 8).alias("ece"))
 
 
-@query("i11_isotonic_knots")
+@query(
+    "i11_isotonic_knots",
+    f"WITH {WITH_SCORES}, c AS (SELECT score AS x, count(*) AS n, sum(label) AS h FROM scores GROUP BY 1), s AS (SELECT x, n, h, row_number() OVER (ORDER BY x) AS i, sum(n) OVER (ORDER BY x) AS cn, sum(h) OVER (ORDER BY x) AS ch FROM c), "
+    # the fit at i is the highest of the lowest means of the runs that begin at or before it and end at or after it
+    "ab AS (SELECT a.i AS a, b.i AS b, (b.ch - a.ch + a.h) / (b.cn - a.cn + a.n) AS mean FROM s a JOIN s b ON a.i <= b.i), low AS (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS low FROM ab), "
+    "f AS (SELECT i, max(low) AS fitted FROM low GROUP BY i), g AS (SELECT fitted, min(x) AS x1, max(x) AS x2, CAST(sum(n) AS DOUBLE) AS size, CAST(sum(h) AS DOUBLE) AS hits FROM f JOIN s USING (i) GROUP BY 1), "
+    "y AS (SELECT x1, x2, size, hits, max((hits + 5e-1) / (size + 1)) OVER (ORDER BY fitted) AS y FROM g) SELECT DISTINCT unnest([x1, x2]) AS x, round(y, 12) AS y, size, hits FROM y",
+)
 def isotonic_knots(t: Tables):
-    return cal.isotonic_knots(t.scores(), "label", "score")
+    return cal.isotonic_knots(t.scores(), "label", "score").withColumn("y", F.round("y", 12))
 
 
 KNOTS = ((0.05, 0.2, 0.5, 0.8), (0.01, 0.15, 0.4, 0.85))
@@ -292,13 +307,64 @@ def sampling_rate(t: Tables):
     )
 
 
-@query("i14_window_shift", "SELECT 2e-1 AS target, 2e-1 AS mean_after")
+# windows of the last years before 2000, and the years from then on that they are tried on
+WINDOWS = ((2, 1998, 1999), (3, 1997, 1999), (5, 1995, 1999))
+WINDOWS_SQL = "w AS (SELECT * FROM (VALUES " + ", ".join(map(str, WINDOWS)) + ") v(win, first, last))"
+WINDOW_SQL = (
+    f"WITH RECURSIVE {WITH_SCORES}, {WINDOWS_SQL}, l AS (SELECT year, label, ln(s / (1 - s)) AS z FROM (SELECT year, label, greatest(least(score, 1 - 1e-9), 1e-9) AS s FROM scores)), "
+    "lw AS (SELECT win, label, z FROM l JOIN w ON year BETWEEN first AND last), record AS (SELECT avg(label) AS rate FROM l WHERE year < 2000), "
+    "r AS (SELECT win, sum(label) AS ignitions, count(*) AS cell_days, avg(label) AS rate FROM lw GROUP BY win), k AS (SELECT win, z, count(*) AS n FROM lw GROUP BY ALL), "
+    "b AS (SELECT win, rate, -2e1 AS lo, 2e1 AS hi, 0 AS step FROM r UNION ALL SELECT b.win, any_value(rate), CASE WHEN sum(n / (1 + exp(-z - (lo + hi) / 2))) / sum(n) < any_value(rate) THEN any_value((lo + hi) / 2) ELSE any_value(lo) END, "
+    "CASE WHEN sum(n / (1 + exp(-z - (lo + hi) / 2))) / sum(n) < any_value(rate) THEN any_value(hi) ELSE any_value((lo + hi) / 2) END, any_value(step) + 1 FROM b JOIN k ON k.win = b.win WHERE step < 42 GROUP BY b.win), "
+    "p AS (SELECT r.win, r.ignitions, r.cell_days, r.rate, ln(r.rate / record.rate) AS prior_shift, (SELECT any_value((lo + hi) / 2) FROM b WHERE b.win = r.win AND step = 42) AS matched_shift FROM r, record), "
+    "m AS (SELECT p.win, sum(n / (1 + exp(-z))) / sum(n) AS mean_before, sum(n / (1 + exp(-z - prior_shift))) / sum(n) AS mean_prior FROM p JOIN k ON k.win = p.win GROUP BY p.win), "
+    # a mean lies in the interval when neither tail beyond the count is under 2.5 % with it
+    "t AS (SELECT m.win, sum(CASE WHEN i <= ignitions THEN q ELSE 0 END) AS below, sum(CASE WHEN i < ignitions THEN q ELSE 0 END) AS under FROM (SELECT m.win, ignitions, i, exp(i * ln(mean_prior * cell_days) - mean_prior * cell_days - lgamma(i + 1)) AS q "
+    "FROM m JOIN p ON p.win = m.win, range(0, (SELECT CAST(max(ignitions) AS BIGINT) + 1 FROM r)) g(i)) m GROUP BY m.win), "
+    "c AS (SELECT p.*, mean_before, mean_prior, below >= 25e-3 AND 1 - under >= 25e-3 AS prior_fits FROM p JOIN m ON m.win = p.win JOIN t ON t.win = p.win), "
+    "choice AS (SELECT *, CASE WHEN prior_fits THEN prior_shift ELSE matched_shift END AS shift FROM c) "
+)
+
+
+def window_inputs(t: Tables):
+    rows = cal.record_logits(t.scores(), "score").select("year", "label", "z")
+    windows = t.spark.createDataFrame(WINDOWS, "window int, first int, last int")
+    yearly = rows.groupBy("year").agg(F.sum("label").alias("ignitions"), F.count("*").alias("cell_days"))
+    rates = cal.window_rates(yearly, windows)
+    years = windows.select("window", F.explode(F.sequence("first", "last")).alias("year"))
+    record = rows.where("year < 2000").agg(F.avg("label").alias("rate"))
+    return rows, cal.window_choice(rows.join(years, "year").select("window", "z"), rates, record)
+
+
+@query(
+    "i14_window_shift",
+    WINDOW_SQL + "SELECT win AS window_years, CAST(ignitions AS BIGINT) AS ignitions, cell_days, round(rate, 9) AS rate, round(prior_shift, 6) AS prior_shift, round(matched_shift, 6) AS matched_shift, round(mean_before, 9) AS mean_before, round(mean_prior, 9) AS mean_prior, prior_fits, round(shift, 6) AS shift FROM choice",
+)
 def window_shift(t: Tables):
-    """The shift is checked by what it is for: the mean probability it leaves."""
-    logits = cal.record_logits(t.scores(), "score").select("z")
-    shift = cal.empirical_shift(logits, "z", 0.2)
-    mean = F.avg(physics.inverse_logit(F.col("z") + F.lit(shift)))
-    return logits.agg(F.lit(0.2).alias("target"), F.round(mean, 6).alias("mean_after"))
+    _, choice = window_inputs(t)
+    return choice.select(
+        F.col("window").alias("window_years"), "ignitions", "cell_days", F.round("rate", 9).alias("rate"),
+        *(F.round(c, 6).alias(c) for c in ("prior_shift", "matched_shift")),
+        *(F.round(c, 9).alias(c) for c in ("mean_before", "mean_prior")), "prior_fits", F.round("shift", 6).alias("shift"),
+    )
+
+
+@query(
+    "i14_validated_windows",
+    WINDOW_SQL.rstrip() + ", later AS (SELECT z, count(*) AS n, sum(label) AS h FROM l WHERE year >= 2000 GROUP BY z), o AS (SELECT sum(h) / sum(n) AS observed FROM later) "
+    "SELECT win AS window_years, round(any_value(observed), 9) AS observed, round(sum(n / (1 + exp(-z - shift))) / sum(n), 8) AS predicted, round(sum(n / (1 + exp(-z - prior_shift))) / sum(n), 8) AS predicted_prior, "
+    "round(sum(n / (1 + exp(-z - matched_shift))) / sum(n), 8) AS predicted_matched, round(sum(n / (1 + exp(-z))) / sum(n), 8) AS unshifted FROM choice, later, o GROUP BY win",
+)
+def validated_windows(t: Tables):
+    rows, choice = window_inputs(t)
+    later = rows.where("year >= 2000")
+    seen = later.agg(F.sum("label").alias("ignitions"), F.count("*").alias("cell_days")).withColumn("_b", garwood("ignitions"))
+    per_day = [(F.col(c) / F.col("cell_days")).alias(n) for c, n in (("ignitions", "rate"), ("_b.low", "low"), ("_b.high", "high"))]
+    out = cal.validated_windows(choice, later.select("z"), seen.select(*per_day))
+    return out.select(
+        F.col("window").alias("window_years"), F.round("observed", 9).alias("observed"),
+        *(F.round(c, 8).alias(c) for c in ("predicted", "predicted_prior", "predicted_matched", "unshifted")),
+    )
 
 
 @query(

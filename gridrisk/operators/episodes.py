@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridrisk.operators.components import HUB, components
 from gridrisk.session import cut_lineage
 
 
@@ -18,14 +19,12 @@ def label_components(
     row: str = "row",
     col: str = "col",
     out: str = "episode",
-    max_rounds: int = 64,
+    hub: int = HUB,
 ) -> DataFrame:
     """Label the rows that touch, over days, rows and columns, diagonals included.
 
-    Neighbours meet through an equi-join on the 26 places around a row. Every round takes the
-    lowest label among the neighbours and then the label of that label, so labels halve their
-    distance to the smallest and the rounds grow with the logarithm of a component's length.
-    Labels are the smallest place of the component; each round goes to a written table.
+    Neighbours meet through an equi-join on the 13 places after a row, and components come from
+    alternating stars. Labels are the smallest place of the component.
     """
     # one id per place; the same place makes the same id on every run
     place = F.struct(
@@ -34,12 +33,13 @@ def label_components(
         F.col(col).cast("bigint").alias("c"),
     )
     nodes = cut_lineage(cells.select(place.alias("v")).distinct())
+    # one of each two opposite directions, as a link has no direction
     steps = [
         (dd, dr, dc)
         for dd in (-1, 0, 1)
         for dr in (-1, 0, 1)
         for dc in (-1, 0, 1)
-        if (dd, dr, dc) != (0, 0, 0)
+        if (dd, dr, dc) > (0, 0, 0)
     ]
     around = F.array(
         *(
@@ -51,34 +51,11 @@ def label_components(
             for dd, dr, dc in steps
         )
     )
-    links = cut_lineage(
-        nodes.select("v", F.explode(around).alias("u")).join(
-            nodes.select(F.col("v").alias("u")), "u", "left_semi"
-        )
+    links = nodes.select(F.col("v").alias("a"), F.explode(around).alias("b")).join(
+        nodes.select(F.col("v").alias("b")), "b", "left_semi"
     )
-    labels = nodes.withColumn("label", F.col("v"))
-    for _ in range(max_rounds):
-        lowest = (
-            links.join(labels.select(F.col("v").alias("u"), F.col("label").alias("near")), "u")
-            .groupBy("v")
-            .agg(F.min("near").alias("near"))
-        )
-        hooked = labels.join(lowest, "v", "left").select(
-            "v", "label", F.least("label", F.coalesce("near", "label")).alias("next")
-        )
-        # jump: adopt the label of the row the label points at
-        onward = hooked.select(F.col("v").alias("next"), F.col("next").alias("beyond"))
-        jumped = hooked.join(onward, "next", "left").select(
-            "v",
-            F.least("next", F.coalesce("beyond", "next")).alias("label"),
-            (F.least("next", F.coalesce("beyond", "next")) != F.col("label")).alias("moved"),
-        )
-        settled = cut_lineage(jumped)
-        labels = settled.select("v", "label")
-        if settled.where("moved").limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError(f"labels still moved after {max_rounds} rounds")
+    roots = components(links, hub=hub).withColumnsRenamed({"node": "v", "root": "label"})
+    labels = nodes.join(roots, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
     named = labels.select(
         F.col("v.d").alias("_d"), F.col("v.r").alias("_r"), F.col("v.c").alias("_c"), "label"
     )

@@ -25,6 +25,9 @@ SPLIT = 4
 #: Times a cell is cut at most: edges that meet in one point are never told apart by cutting.
 DEPTH = 8
 
+#: Rows of an area that one task takes; the edges of a larger one are dealt by bands of rows.
+BAND = 64
+
 PIECE = ("a_u", "a_v", "b_u", "b_v")
 
 
@@ -39,7 +42,8 @@ def walked(
 
     `cross` is 1 or -1 where the edge goes south or north over its row's northern line. With a
     number of columns, all that lies west of the lattice is one piece in column -1. A slack
-    assigns edges that come as near as that to a neighbouring cell as well.
+    assigns edges that come as near as that to a neighbouring cell as well. The edges are dealt by
+    the keys and `band`, a run of rows, so that sums over rows of the keys need no further shuffle.
     """
     u1, v1, u2, v2 = (F.col(c) for c in ("u1", "v1", "u2", "v2"))
     north, south = F.floor(F.least(v1, v2) - slack), F.ceil(F.greatest(v1, v2) + slack) - 1
@@ -48,8 +52,14 @@ def walked(
         north, south = F.greatest(north, F.lit(0)), F.least(south, F.lit(n_rows - 1))
     # a level edge on a lattice line covers nothing, and what it closes is counted by the line
     listed = edges.where((v1 != v2) | (v1 != F.floor(v1)) | F.lit(slack > 0))
-    listed = listed.withColumns({"_n": north, "_s": south}).where("_n <= _s")
-    rows = listed.withColumn("row", F.explode(F.sequence("_n", "_s")))
+    ends = [F.col(c) for c in ("u1", "v1", "u2", "v2", "weight")]
+    listed = listed.select(*keys, *ends, north.alias("_n"), south.alias("_s")).where("_n <= _s")
+    banded = listed.withColumn("band", F.explode(F.sequence(F.floor(F.col("_n") / BAND), F.floor(F.col("_s") / BAND))))
+    # a stated number of partitions: adaptive execution would merge them by their present size
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = banded.repartition(tasks, *keys, "band")
+    first, last = F.greatest("_n", F.col("band") * BAND), F.least("_s", F.col("band") * BAND + BAND - 1)
+    rows = dealt.withColumn("row", F.explode(F.sequence(first, last)))
     row = F.col("row").cast("double")
 
     def cut(u: Column, v: Column, at: Column) -> Column:
@@ -87,51 +97,50 @@ def walked(
     )
     sign = F.when(v2 > v1, 1).otherwise(-1)
     cross = F.when(F.col("col") == F.col("_over"), sign).otherwise(0)
-    return cells.select(*keys, "row", "col", *PIECE, "weight", cross.alias("cross"))
+    return cells.select(*keys, "band", "row", "col", *PIECE, "weight", cross.alias("cross"))
 
 
-def covered(pieces: DataFrame, keys: Sequence[str], n_cols: int | None) -> tuple[DataFrame, DataFrame]:
-    """Crossed cells with `share` and the winding `corner` at their north-west corner; spans between them.
+def filled(pieces: DataFrame, keys: Sequence[str], n_cols: int | None) -> DataFrame:
+    """(keys, row, col, share, crossed, corner): the signed share of each cell an area covers.
 
-    A span is first and last column of a run of cells that no edge crosses and their share, which
-    is their winding number. Signs tell the orientation; the pieces of a row meet in one task,
-    since a row has one crossed cell a column at most once they are added up.
+    Crossed cells stand here even when nothing of them is covered, with the winding number at
+    their north-west corner; between them, and east of the last within the lattice, come the cells
+    that no edge crosses, whose share is their winding number. Signs tell the orientation. The
+    pieces of a band meet in one task, and a row has one crossed cell a column at most once they
+    are added up, so running sums along it are short.
     """
+    place = [*keys, "band", "row"]
     height = F.col("b_v") - F.col("a_v")
     own = height * (F.col("col") + 1 - (F.col("a_u") + F.col("b_u")) / 2.0)
-    by_row = pieces.repartition(*keys, "row")
-    cells = by_row.groupBy(*keys, "row", "col").agg(
+    cells = pieces.groupBy(*place, "col").agg(
         F.sum(F.col("weight") * height).alias("_cover"),
         F.sum(F.col("weight") * own).alias("_own"),
         F.sum(F.col("weight") * F.col("cross")).alias("_cross"),
     )
-    along = Window.partitionBy(*keys, "row").orderBy("col")
+    along = Window.partitionBy(*place).orderBy("col")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     run = cells.withColumns(
         {
             "_left": F.coalesce(F.sum("_cover").over(before), F.lit(0.0)),
-            "corner": F.coalesce(F.sum("_cross").over(before), F.lit(0)),
+            "_corner": F.coalesce(F.sum("_cross").over(before), F.lit(0)),
             "_next": F.lead("col").over(along),
         }
     )
-    crossed = run.where("col >= 0") if n_cols is not None else run
-    crossed = crossed.select(*keys, "row", "col", (F.col("_left") + F.col("_own")).alias("share"), "corner")
-    last = F.col("_next") - 1 if n_cols is None else F.coalesce(F.col("_next") - 1, F.lit(n_cols - 1))
+    end = F.lit(None) if n_cols is None else F.lit(n_cols)
     after = F.col("_left") + F.col("_cover")
-    spans = run.select(*keys, "row", (F.col("col") + 1).alias("first"), last.alias("last"), after.alias("share"))
-    return crossed, spans.where("first <= last").where(F.abs("share") > TOLERANCE)
-
-
-def filled(pieces: DataFrame, keys: Sequence[str], n_cols: int | None) -> DataFrame:
-    """(keys, row, col, share, crossed): the signed share of each cell an area covers.
-
-    Crossed cells stand here even when nothing of them is covered.
-    """
-    crossed, spans = covered(pieces, keys, n_cols)
-    inner = spans.withColumn("col", F.explode(F.sequence("first", "last")))
-    return crossed.select(*keys, "row", "col", "share", F.lit(True).alias("crossed")).unionByName(
-        inner.select(*keys, "row", "col", "share", F.lit(False).alias("crossed"))
+    last = F.when(F.abs(after) > TOLERANCE, F.coalesce(F.col("_next"), end) - 1)
+    # the crossed cell and the span after it are one list, so the sums are made once
+    listed = run.withColumn("_at", F.explode(F.sequence("col", F.greatest("col", last))))
+    crossed = F.col("_at") == F.col("col")
+    cells = listed.select(
+        *keys,
+        "row",
+        F.col("_at").alias("col"),
+        F.when(crossed, F.col("_left") + F.col("_own")).otherwise(after).alias("share"),
+        crossed.alias("crossed"),
+        F.when(crossed, F.col("_corner")).otherwise(0).cast("long").alias("corner"),
     )
+    return cells if n_cols is None else cells.where("col >= 0")
 
 
 def swept_area(pieces: np.ndarray, owner: np.ndarray, corner: np.ndarray) -> float:
@@ -216,11 +225,8 @@ def union_shares(edges: DataFrame, n_cols: int, n_rows: int, sweep: int = SWEEP,
     for level in range(depth + 1):
         cols, rows = (SPLIT, SPLIT) if level else (n_cols, n_rows)
         pieces = cut_lineage(walked(at, keys, cols, rows), "overlay-pieces")
-        crossed, spans = covered(pieces, keys, cols)
-        inner = spans.withColumn("col", F.explode(F.sequence("first", "last")))
-        own = crossed.select(*keys, "row", "col", F.abs("share").alias("share"), "corner").unionByName(
-            inner.select(*keys, "row", "col", F.abs("share").alias("share"), F.lit(0).cast("long").alias("corner"))
-        )
+        cells = filled(pieces.repartition(*keys, "band"), keys, cols)
+        own = cells.select(*keys, "row", "col", F.abs("share").alias("share"), "corner")
         own = cut_lineage(own, "overlay-cells")
         count = pieces.groupBy(*place).agg(F.count("*").alias("pieces"))
         met = own.where(F.col("share") > TOLERANCE).groupBy(*place).agg(F.max("share").alias("most"), F.count("*").alias("geoms"))

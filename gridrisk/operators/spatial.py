@@ -18,18 +18,12 @@ from gridrisk.operators.grid import GridSpec
 from gridrisk.session import cut_lineage
 
 def cell_edges(polygons: DataFrame, spec: GridSpec, sides: str = "sides") -> DataFrame:
-    """(geom_id, x1 ... y2, u1 ... v2, weight): the edges one by one, their ends in cells east and south.
-
-    They are dealt out over the tasks first, since what follows lists many rows for each.
-    """
+    """(geom_id, x1 ... y2, u1 ... v2, weight): edges one by one, their ends also in cells east and south."""
     lined = polygons.select("geom_id", F.inline(sides))
-    # a stated number of partitions: adaptive execution would merge them by their present size
-    tasks = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size, left, top = F.lit(float(spec.resolution)), F.lit(float(spec.xmin)), F.lit(float(spec.ymax))
     east = {f"u{k}": (F.col(f"x{k}") - left) / size for k in (1, 2)}
     south = {f"v{k}": (top - F.col(f"y{k}")) / size for k in (1, 2)}
-    dealt = lined.repartition(tasks, "geom_id", "x1", "y1")
-    return dealt.withColumns({**east, **south, "weight": F.lit(1)})
+    return lined.withColumns({**east, **south, "weight": F.lit(1)})
 
 
 def polygon_cells(
@@ -40,27 +34,31 @@ def polygon_cells(
     Touching an edge is not overlapping. Edges list the cells they cross, and each row of a polygon
     is filled between them, so the work grows with the outline and the rows returned.
     """
+    found = _met_cells(polygons, spec, sides).where(F.abs("share") > tolerance)
+    return found.select("geom_id", "cell_id", (F.abs("share") * float(spec.resolution) ** 2).alias("area"))
+
+
+def _met_cells(polygons: DataFrame, spec: GridSpec, sides: str) -> DataFrame:
     pieces = overlay.walked(cell_edges(polygons, spec, sides), ["geom_id"], spec.n_cols, spec.n_rows)
     found = overlay.filled(pieces, ["geom_id"], spec.n_cols)
-    cell = F.col("row").cast("bigint") * spec.n_cols + F.col("col")
-    return found.where(F.abs("share") > tolerance).select(
-        "geom_id", cell.alias("cell_id"), (F.abs("share") * float(spec.resolution) ** 2).alias("area")
-    )
+    return found.withColumn("cell_id", F.col("row").cast("bigint") * spec.n_cols + F.col("col"))
 
 
-def _edge_box_distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Distance of an edge to a box it does not enter: a corner or an end is nearest."""
-    corners = [
-        geo.point_segment_distance(x, y, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-        for x in (x0, x1)
-        for y in (y0, y1)
-    ]
-    ends = []
+def _edge_near_box(x0: Column, y0: Column, x1: Column, y1: Column, radius: float) -> Column:
+    """Whether an edge comes nearer than the radius to a box: one of its ends, or a corner to it.
+
+    An edge that crosses the box without that is told by its crossing.
+    """
+    near = F.lit(False)
     for px, py in ((F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))):
         dx = F.greatest(x0 - px, F.lit(0.0), px - x1)
         dy = F.greatest(y0 - py, F.lit(0.0), py - y1)
-        ends.append(F.hypot(dx, dy))
-    return F.least(*corners, *ends)
+        near = near | (dx * dx + dy * dy < radius * radius)
+    for x in (x0, x1):
+        for y in (y0, y1):
+            gap = geo.point_segment_distance(x, y, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+            near = near | (gap < radius)
+    return near
 
 
 def buffered_cells(
@@ -72,14 +70,17 @@ def buffered_cells(
     nearer than the radius to an edge. An edge proposes, row by row, the cells within the radius
     of the part of it that is within the radius of the row.
     """
-    inside = polygon_cells(polygons, spec, sides).select("geom_id", "cell_id")
+    # an edge that enters a cell is no distance away, wherever its ends are
+    met = _met_cells(polygons, spec, sides).where((F.abs("share") > overlay.TOLERANCE) | (F.col("crossed") & F.lit(radius > 0)))
     r = F.lit(float(radius) / spec.resolution)
     u1, v1, u2, v2 = (F.col(c) for c in ("u1", "v1", "u2", "v2"))
 
     def held(index: Column, last: int) -> Column:
         return F.least(F.greatest(index, F.lit(-1)), F.lit(last + 1))
 
-    rows = cell_edges(polygons, spec, sides).withColumns(
+    tasks = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cell_edges(polygons, spec, sides).repartition(tasks, "geom_id", "x1", "y1")
+    rows = dealt.withColumns(
         {
             "_n": F.greatest(held(F.floor(F.least(v1, v2) - r), spec.n_rows - 1), F.lit(0)),
             "_s": F.least(held(F.floor(F.greatest(v1, v2) + r), spec.n_rows - 1), F.lit(spec.n_rows - 1)),
@@ -101,13 +102,10 @@ def buffered_cells(
         }
     ).where("_w <= _e")
     cells = rows.withColumn("_col", F.explode(F.sequence("_w", "_e")))
-    gap = _edge_box_distance(*spec.box(F.col("_col"), F.col("_row")))
-    # an edge that enters the cell is no distance away, wherever its ends are
-    enters = overlay.walked(cell_edges(polygons, spec, sides), ["geom_id"], spec.n_cols, spec.n_rows).where("col >= 0")
+    near_box = _edge_near_box(*spec.box(F.col("_col"), F.col("_row")), radius * (1 - 1e-12))
     cell = F.col("_row").cast("bigint") * spec.n_cols + F.col("_col")
-    close = cells.where(gap < radius * (1 - 1e-12)).select("geom_id", cell.alias("cell_id"))
-    crossed = enters.select("geom_id", (F.col("row").cast("bigint") * spec.n_cols + F.col("col")).alias("cell_id"))
-    return inside.unionByName(close).unionByName(crossed).distinct() if radius > 0 else inside
+    close = cells.where(near_box).select("geom_id", cell.alias("cell_id"))
+    return met.select("geom_id", "cell_id").unionByName(close).distinct()
 
 
 def area_shares(
@@ -153,17 +151,15 @@ def points_in_polygons(
     edges = lined.withColumns({**ends, "weight": F.lit(1)})
     # an edge near a bucket's border counts for both, so that rounding never decides
     pieces = overlay.walked(edges, ["geom_id"], None, None, slack=1e-9)
-    crossed, spans = overlay.covered(pieces, ["geom_id"], None)
-    inner = spans.where(F.round(F.abs("share")) % 2 == 1).withColumn("col", F.explode(F.sequence("first", "last")))
+    cells = overlay.filled(pieces, ["geom_id"], None)
+    odd = F.round(F.abs("share")) % 2 == 1
     north = F.floor(F.least("v1", "v2") - 1e-9)
     south = F.greatest(north, F.ceil(F.greatest("v1", "v2") + 1e-9) - 1)
     edge = F.struct("x1", "y1", "x2", "y2")
     by_row = edges.withColumn("row", F.explode(F.sequence(north, south))).groupBy("geom_id", "row").agg(F.collect_list(edge).alias("_row"))
     right = F.filter("_row", lambda e: F.greatest(e["x1"], e["x2"]) >= F.col("col") * size)
-    tested = crossed.select("geom_id", "row", "col").join(by_row, ["geom_id", "row"]).withColumn("_sides", right)
-    whole = inner.select("geom_id", "row", "col", F.lit(True).alias("_whole"))
-    spread = whole.withColumn("_sides", F.lit(None).cast(tested.schema["_sides"].dataType)).unionByName(
-        tested.select("geom_id", "row", "col", F.lit(False).alias("_whole"), "_sides")
+    spread = cells.where(F.col("crossed") | odd).join(by_row, ["geom_id", "row"]).select(
+        "geom_id", "row", "col", (~F.col("crossed")).alias("_whole"), F.when(F.col("crossed"), right).alias("_sides")
     )
     spread = spread.select("geom_id", F.col("col").alias("_bx"), F.col("row").alias("_by"), "_whole", "_sides")
     placed = points.withColumns(

@@ -3,9 +3,9 @@
 A window without a partition, or over one hot group, sorts everything in a single task. The input
 is collapsed to one row per value first and written out once. While every group stays under
 `SLICE_ROWS` values a plain window does; beyond that the values of a group are cut into slices by
-value, ordered inside their slice, and joined with the running totals of the slices before. The
-cut values are a sample picked by the hash of the value itself, so a task that is run again cuts
-in the same places.
+value, and slices that are still too large are cut again, until each is ordered on its own and
+joined with the running totals of the slices before. The cut values are a sample picked by the
+hash of the value itself, so a task that is run again cuts in the same places.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from gridrisk.session import cut_lineage
 
 # a group with fewer values than this is ordered in one piece
 SLICE_ROWS = 1_000_000
-# expected number of slices of a larger group; the array of cuts stays this small
+# expected number of slices of a larger group or slice; the array of cuts stays this small
 SLICES = 256
+# numbers a slice has for the slices it is cut into, more than the sample ever picks
+PARTS = 1024
 
 ALL = "_all"
 
@@ -48,23 +50,29 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
 def slice_values(df: DataFrame, by: Sequence[str], order: str, slice_rows: int) -> DataFrame:
     """Add `_slice`, rising with `order` inside each group; 0 everywhere in a small group.
 
-    `df` holds one row per group and value. Only oversized groups have a row in `sizes` and
-    `cuts`, fewer than rows / slice_rows, so both go to every task.
+    `df` holds one row per group and value. Every round cuts what is still larger than a slice may
+    be into some `SLICES` parts, so the largest slice is bounded whatever the group.
     """
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > slice_rows)
-    picked = F.pmod(F.xxhash64(F.col(order)), F.col("_n")) < SLICES
-    cuts = (
-        meet(df.select(*by, order), F.broadcast(sizes), by)
-        .where(picked)
-        .groupBy(*by)
-        .agg(F.sort_array(F.collect_set(order)).alias("_cuts"))
-    )
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    return (
-        meet(df, F.broadcast(cuts), by, "left")
-        .withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below))
-        .drop("_cuts")
-    )
+    keys = [*by, "_slice"]
+    sliced = df.withColumn("_slice", F.lit(0).cast("bigint"))
+    while True:
+        sizes = sliced.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > slice_rows)
+        # fewer than rows / slice_rows; written, so that joins know how small it is
+        sizes = cut_lineage(sizes, "large-slices")
+        if sizes.isEmpty():
+            return sliced
+        parts = F.least(F.lit(SLICES), F.ceil(F.col("_n") * 4 / slice_rows))
+        picked = F.pmod(F.xxhash64(F.col(order), F.col("_slice")), F.col("_n")) < parts
+        cuts = (
+            meet(sliced.select(*keys, order), sizes, keys)
+            .where(picked)
+            .groupBy(*keys)
+            .agg(F.slice(F.sort_array(F.collect_set(order)), 1, PARTS - 1).alias("_cuts"))
+        )
+        below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+        cut = meet(sliced, cut_lineage(cuts, "slice-cuts"), keys, "left")
+        inner = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)
+        sliced = cut_lineage(cut.withColumn("_slice", F.col("_slice") * PARTS + inner).drop("_cuts"), "sliced")
 
 
 def running_sums(
@@ -108,7 +116,7 @@ def _running_sliced(keyed, keys, order, sums, slice_rows, with_next):
     if with_next:
         local = local.withColumn("_next", F.lead(order).over(inside))
 
-    # at most SLICES or so rows per group from here on
+    # one row a slice from here on
     pieces = sliced.groupBy(*keys, "_slice").agg(
         *(F.sum(c).alias(f"_t_{c}") for c in sums), F.min(order).alias("_first")
     )

@@ -145,3 +145,29 @@ def test_null_groups_stay_at_any_slice_size(spark):
     ):
         whole, sliced = (sorted((tuple(sorted(r.asDict().items())) for r in build(size).collect()), key=str) for size in (1_000_000, 10))
         assert len(whole) == len(sliced) and str(whole) == str(sliced)
+
+
+def test_slices_are_cut_until_each_is_small(spark):
+    rows = [(0, k) for k in range(5000)] + [(1, k) for k in range(20)]
+    df = spark.createDataFrame(rows, "g int, v long")
+    sliced = ordering.slice_values(df, ["g"], "v", 8)
+    sizes = sliced.groupBy("g", "_slice").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("g", "_slice").collect()
+    assert max(r.n for r in sizes) <= 8 and len(sizes) > 600
+    for a, b in zip(sizes, sizes[1:]):
+        assert a.g != b.g or a.high < b.low
+
+
+@pytest.mark.parametrize("ordered", [100_000, 1])
+def test_selection_equals_a_full_ranking(spark, ordered):
+    from gridrisk.operators import ranking
+
+    pdf = pd.DataFrame({"s": np.where(RNG.random(3000) < 0.5, 0.25, RNG.random(3000) ** 9), "y": (RNG.random(3000) < 0.2).astype(int), "t": RNG.permutation(3000)})
+    pdf.loc[:3, "s"] = [1e-300, 3e-300, 0.0, -5.0]
+    fractions = (0.0, 0.001, 0.1, 0.33, 0.5, 0.9, 1.0)
+    out = ranking.precision_at(spark.createDataFrame(pdf), "y", "s", "t", fractions, ordered).toPandas().set_index("fraction")
+    ranked = pdf.sort_values(["s", "t"], ascending=[False, True]).reset_index(drop=True)
+    for q in fractions:
+        k = max(1, round(q * 3000))
+        assert out.loc[q, "k"] == k and out.loc[q, "caught"] == ranked["y"][:k].sum()
+        assert out.loc[q, "threshold"] == ranked["s"][k - 1] and out.loc[q, "recall"] == pytest.approx(ranked["y"][:k].sum() / ranked["y"].sum())
+    assert ranking.precision_at(spark.createDataFrame(pdf).limit(0), "y", "s", "t", fractions).count() == 0

@@ -30,6 +30,8 @@ TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 #: A word of letters alone.
 LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
+#: Longs of the bits that words are sieved by; 512 KB whatever the corpus.
+SIEVE = 1 << 16
 SHARE = 0.75  # of the entity's information
 LEAST_LETTERS = 3
 
@@ -86,28 +88,39 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda w: F.xxhash64(F.lower(w))))
 
 
-def revealing(words: DataFrame, entities: DataFrame, texts: int, share: float = SHARE) -> DataFrame:
+def revealing(words: DataFrame, near: DataFrame, entities: DataFrame, texts: int, share: float = SHARE) -> DataFrame:
     """(term) whose mutual information reaches the share of the information of an entity.
 
-    `words` has a row (text_key, term) or more for each word of a text, `entities` (text_key,
-    entity); `texts` is the number of different texts. All counts are of different texts. A term
-    must stand in few texts beside those of the entity, n_t <= n_et * (texts / n_e) ** (1 - share),
-    which holds for an entity or a term of one text as well. Words too frequent for every entity
-    of their text are left out before they meet its entities.
+    `words` has one row (term) for each different word of each different text, `near` the rows
+    (text_key, term) of those texts that name an entity, `entities` (text_key, entity); `texts` is
+    the number of different texts. All counts are of different texts. A term must stand in few
+    texts beside those of the entity, n_t <= n_et * (texts / n_e) ** (1 - share), which holds for
+    an entity or a term of one text as well. Words too frequent for every entity of their text are
+    left out before they meet its entities.
     """
     held = cut_lineage(entities.distinct(), "private-entities")
     sized = cut_lineage(held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")), "entity"), "private-sized")
-    counted = cut_lineage(words.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("n_t")), "private-counts")
+    # counted in each task first, so a task sends a row for each of its words
+    counted = cut_lineage(words.groupBy("term").agg(F.count("*").alias("n_t")), "private-counts")
     reach = F.col("n_e") * F.pow(F.lit(float(texts)) / F.col("n_e"), F.lit(1 - share))
     most = sized.groupBy("text_key").agg((F.max(reach) * (1 + 1e-9)).alias("most"))
-    near = words.join(most, "text_key").select("text_key", "term", "most").distinct()
-    near = cut_lineage(near.join(counted, "term").where(F.col("n_t") <= F.col("most")).select("text_key", "term", "n_t"), "private-near")
-    pairs = near.join(sized, "text_key").groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    limited = near.join(most, "text_key").join(counted, "term").where(F.col("n_t") <= F.col("most"))
+    limited = cut_lineage(limited.select("text_key", "term", "n_t"), "private-near")
+    pairs = limited.join(sized, "text_key").groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
     information = F.log2(F.lit(float(texts)) / F.col("n_e"))
     mutual = information - F.log2(F.col("n_t") / F.col("n_et"))
     return pairs.where((information > 0) & (mutual >= share * information - 1e-9)).select("term").distinct()
 
 
+def sieve(terms: DataFrame) -> DataFrame:
+    """One row with `bits`, an array of SIEVE longs that has a bit for each term; its size is fixed."""
+    bit = F.pmod(F.col("term"), F.lit(64 * SIEVE))
+    longs = terms.select(F.floor(bit / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(term, {64 * SIEVE}) % 64 as int))").alias("bit"))
+    # a map of what is there, filled up to an array
+    packed = longs.groupBy("at").agg(F.bit_or("bit").alias("bits")).agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("there"))
+    return packed.select(F.transform(F.sequence(F.lit(0), F.lit(SIEVE - 1)), lambda k: F.coalesce(F.try_element_at("there", k), F.lit(0).cast("long"))).alias("bits"))
+
+
 def private_spans(docs: DataFrame, text: str = "text", keep_text: bool = True, **options) -> DataFrame:
     """All rows and columns of `docs` with `_spans`: kind, start, end and value of everything found.
 
@@ -122,11 +135,18 @@ def private_spans(docs: DataFrame, text: str = "text", keep_text: bool = True, *
     found = base.withColumn("_rid", F.monotonically_increasing_id()).withColumn("text_key", F.xxhash64(whole)).withColumn("spans", base_spans(whole))
     staged = cut_lineage(found, "private-spans")
     texts = staged.select("text_key").distinct().count()
+    # the texts that stand in several rows, with the row that speaks for them
+    copied = staged.groupBy("text_key").agg(F.min("_rid").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    once = staged.join(cut_lineage(copied, "private-copies"), "text_key", "left").where(F.col("_first").isNull() | (F.col("_first") == F.col("_rid")))
     outside = F.when(F.size("spans") > 0, generalised(whole, F.col("spans"), "0")).otherwise(whole)
-    words = staged.select("_rid", "text_key", F.explode(terms_of(outside)).alias("term"))
+    words = once.select(F.explode(terms_of(outside)).alias("term"))
+    near = once.where(F.size("spans") > 0).select("text_key", F.explode(terms_of(outside)).alias("term"))
     held = staged.where(F.size("spans") > 0).select("text_key", F.explode("spans").alias("x")).select("text_key", F.xxhash64("x.kind", "x.value").alias("entity"))
-    terms = cut_lineage(revealing(words.select("text_key", "term"), held, texts, **options), "private-revealing")
-    hits = words.select("_rid", "term").join(terms, "term").groupBy("_rid").agg(F.collect_set("term").alias("terms"))
+    terms = cut_lineage(revealing(words, near, held, texts, **options), "private-revealing")
+    # words whose bit is not in the sieve are no such terms; the rest meet them exactly
+    passing = staged.withColumn("_one", F.lit(0)).join(F.broadcast(sieve(terms).withColumn("_one", F.lit(0))), "_one")
+    kept = F.filter(terms_of(outside), lambda t: F.call_function("getbit", F.get("bits", F.floor(F.pmod(t, F.lit(64 * SIEVE)) / 64).cast("int")), (F.pmod(t, F.lit(64 * SIEVE)) % 64).cast("int")) == 1)
+    hits = passing.select("_rid", F.explode(kept).alias("term")).join(terms, "term").groupBy("_rid").agg(F.collect_set("term").alias("terms"))
 
     def free(spans: Column) -> Column:
         return F.filter(matches(whole, LETTERS, "term", lambda v: F.array_contains("terms", F.xxhash64(F.lower(v)))), lambda x: ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))

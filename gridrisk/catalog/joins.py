@@ -256,10 +256,10 @@ def source_against_source(t: Tables):
 
 @query(
     "d16_reindex",
-    f"WITH {WITH_FIRES}, {WITH_GRID}, c AS (SELECT cell_id, count(*) AS n FROM fires WHERE cause = 10 GROUP BY 1) SELECT cell_id, coalesce(n, 0) AS n FROM grid LEFT JOIN c USING (cell_id)",
+    f"WITH {WITH_FIRES}, {WITH_GRID}, c AS (SELECT cell_id, count(*) AS n FROM fires GROUP BY 1) SELECT cell_id, coalesce(n, 0) AS n FROM grid LEFT JOIN c USING (cell_id)",
 )
 def reindex(t: Tables):
-    counts = t.fires().where("cause = 10").groupBy("cell_id").agg(F.count("*").alias("n"))
+    counts = t.fires().groupBy("cell_id").agg(F.count("*").alias("n"))
     return jn.reindex(t.grid().select("cell_id"), counts, ["cell_id"], {"n": 0})
 
 

@@ -139,20 +139,28 @@ TRACKS_SQL = (
 
 
 def _track_rows(t: Tables):
-    """Lineitem of a supplier in order, cut into runs of thirty; the last short run is dropped."""
+    """Lineitem of a supplier in order, cut into runs of thirty, the last of which may be short."""
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
     keyed = t.lineitem.withColumns({"_order": order, "_one": F.lit(1).cast("bigint")})
     numbered = running_sums(keyed, ["l_suppkey"], "_order", ["_one"])
     place = F.col("cum__one") - 1
-    cut = numbered.withColumns({"sample": F.floor(place / 30), "step": place % 30})
-    whole = cut.groupBy("l_suppkey", "sample").agg(F.count("*").alias("_c")).where("_c = 30")
-    return cut.join(whole.drop("_c"), ["l_suppkey", "sample"], "left_semi")
+    return numbered.withColumns({"sample": F.floor(place / 30), "step": place % 30})
+
+
+def _track_key():
+    return [F.lit("supplier"), F.col("l_suppkey"), F.col("sample")]
+
+
+def _whole_tracks(rows):
+    """The rows of whole tracks; `a06_ragged_tracks` names the others, which the operator refuses."""
+    ragged = rc.ragged_tracks(rows, _track_key(), 30).select("track_id")
+    return rows.withColumn("track_id", F.concat_ws("-", *_track_key())).join(ragged, "track_id", "left_anti").drop("track_id")
 
 
 def _tracks(rows):
     return rc.target_days(
         rows,
-        [F.lit("supplier"), F.col("l_suppkey"), F.col("sample")],
+        _track_key(),
         "step",
         30,
         29,
@@ -168,7 +176,15 @@ def _tracks(rows):
     "max(l_tax) FILTER (step = 29) AS tax, max(l_shipdate) FILTER (step = 29) AS time FROM c JOIN w USING (l_suppkey, sample) GROUP BY l_suppkey, sample",
 )
 def fixed_length_tracks(t: Tables):
-    return _tracks(_track_rows(t))
+    return _tracks(_whole_tracks(_track_rows(t)))
+
+
+@query(
+    "a06_ragged_tracks",
+    f"WITH {TRACKS_SQL} SELECT concat_ws('-', 'supplier', l_suppkey, sample) AS track_id, count(*) AS days FROM c GROUP BY l_suppkey, sample HAVING count(*) <> 30",
+)
+def ragged_tracks(t: Tables):
+    return rc.ragged_tracks(_track_rows(t), _track_key(), 30)
 
 
 @query(
@@ -177,7 +193,7 @@ def fixed_length_tracks(t: Tables):
     "SELECT concat_ws('-', 'supplier', l_suppkey, sample) AS track_id, precip_cum30_mm, CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END AS label FROM x",
 )
 def labelled_tracks(t: Tables):
-    rows = _track_rows(t)
+    rows = _whole_tracks(_track_rows(t))
     even = F.col("l_suppkey") % 2 == 0
     both = rc.labelled_tracks(_tracks(rows.where(even)), _tracks(rows.where(~even)))
     return both.select("track_id", "precip_cum30_mm", "label")
@@ -275,6 +291,17 @@ def band_names(t: Tables):
     return t.orders.select("o_orderkey", parsed.alias("name"), month.alias("month"))
 
 
+@query(
+    "a11_checked_band_names",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'ndvi' ELSE 'lst' END AS name, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders",
+)
+def checked_band_names(t: Tables):
+    """Every name is well formed here, so the check lets all of them pass."""
+    text = pl.band_name(F.when(F.col("o_orderkey") % 2 == 0, "ndvi").otherwise("lst"), F.col("o_orderdate"))
+    parsed, month = pl.checked_band_name(text, ["ndvi", "lst"])
+    return t.orders.select("o_orderkey", parsed.alias("name"), month.alias("month"))
+
+
 @query(
     "a12_cell_bands",
     f"WITH {WITH_GRID}, w AS (SELECT l_suppkey AS cell_id, sum(l_quantity) AS ndvi, count(*) * 1e0 AS lst FROM lineitem GROUP BY 1), g AS (SELECT cell_id, ndvi, lst FROM grid LEFT JOIN w USING (cell_id)) "
@@ -290,6 +317,19 @@ def cell_bands(t: Tables):
     return pl.long_bands(dense, "cell_id", ["ndvi", "lst"])
 
 
+@query(
+    "a14_json_records",
+    f"WITH {WITH_CELL_DAYS} SELECT CAST(date AS VARCHAR) AS date, count(*) AS cells, round(avg(raw), 9) AS mean, round(max(raw), 9) AS max FROM cell_days GROUP BY date",
+)
+def json_records(t: Tables):
+    """A record a day as JSON lines, written and read back."""
+    days = t.cell_days().groupBy("date").agg(F.count("*").alias("cells"), F.struct(F.avg("raw").alias("mean"), F.max("raw").alias("max")).alias("probability"))
+    path = fresh_path(t.spark, "records")
+    tb.write_json(days, path)
+    back = t.spark.read.schema("date string, cells bigint, probability struct<mean double, max double>").json(path)
+    return back.select("date", "cells", F.round("probability.mean", 9).alias("mean"), F.round("probability.max", 9).alias("max"))
+
+
 @query(
     "a14_written_days",
     f"WITH {WITH_CELL_DAYS} SELECT cell_id, raw, CAST(year(date) AS INT) AS year FROM cell_days",

@@ -308,23 +308,23 @@ def edition_stack(t: Tables):
 
 @query(
     "c12_sub_points",
-    "SELECT c_custkey AS cell_id, CAST(i * 3 + j AS INT) AS sub, round(6e5 + (c_custkey % 40) * 5e2 + (j + 5e-1) / 3 * 5e2, 6) AS sx, round(52e5 - (c_custkey // 40) * 5e2 - (i + 5e-1) / 3 * 5e2, 6) AS sy "
-    "FROM customer, range(0, 3) a(i), range(0, 3) b(j)",
+    "SELECT c_custkey AS cell_id, CAST(i * 5 + j AS INT) AS sub, round(6e5 + (c_custkey % 40) * 5e2 + (j + 5e-1) / 5 * 5e2, 6) AS sx, round(52e5 - (c_custkey // 40) * 5e2 - (i + 5e-1) / 5 * 5e2, 6) AS sy "
+    "FROM customer, range(0, 5) a(i), range(0, 5) b(j)",
 )
 def sub_points(t: Tables):
     lattice = gd.GridSpec(XMIN, YMAX, N_COLS, 1, RES)
-    out = gd.sub_points(t.grid().select("cell_id"), lattice, "cell_id", 3)
+    out = gd.sub_points(t.grid().select("cell_id"), lattice, "cell_id", 5)
     return out.select("cell_id", "sub", F.round("sx", 6).alias("sx"), F.round("sy", 6).alias("sy"))
 
 
 @query(
     "c13_line_distance",
-    f"WITH {WITH_ROADS}, s AS (SELECT c_custkey AS cell_id, 6e5 + (c_custkey % 40) * 5e2 + (j + 5e-1) / 2 * 5e2 AS sx, 52e5 - (c_custkey // 40) * 5e2 - (i + 5e-1) / 2 * 5e2 AS sy FROM customer, range(0, 2) a(i), range(0, 2) b(j)), "
+    f"WITH {WITH_ROADS}, s AS (SELECT c_custkey AS cell_id, 6e5 + (c_custkey % 40) * 5e2 + (j + 5e-1) / 5 * 5e2 AS sx, 52e5 - (c_custkey // 40) * 5e2 - (i + 5e-1) / 5 * 5e2 AS sy FROM customer, range(0, 5) a(i), range(0, 5) b(j)), "
     f"d AS (SELECT cell_id, sx, sy, min({SEGMENT_DISTANCE.format(x='sx', y='sy')}) AS d FROM s, roads GROUP BY 1, 2, 3) SELECT cell_id, round(avg(d), 4) AS distance_mean, round(stddev_pop(d), 4) AS distance_std FROM d GROUP BY cell_id",
 )
 def line_distance(t: Tables):
     lattice = gd.GridSpec(XMIN, YMAX, N_COLS, 1, RES)
-    out = sp.line_distance_stats(t.grid(), lattice, roads(t), 2, 4000.0)
+    out = sp.line_distance_stats(t.grid(), lattice, roads(t), 5, 4000.0)
     return out.select(
         "cell_id", *(F.round(c, 4).alias(c) for c in ("distance_mean", "distance_std"))
     )

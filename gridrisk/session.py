@@ -64,10 +64,12 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; a cluster needs a shared folder")
-    folder = tempfile.mkdtemp(prefix="gridrisk-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # kept on the context: a running session does not take the setting any more
+    context = spark.sparkContext
+    if not getattr(context, "_gridrisk_folder", None):
+        context._gridrisk_folder = tempfile.mkdtemp(prefix="gridrisk-")
+        atexit.register(shutil.rmtree, context._gridrisk_folder, ignore_errors=True)
+    return context._gridrisk_folder
 
 
 _watchers: list[list[str]] = []

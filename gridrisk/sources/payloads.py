@@ -86,6 +86,13 @@ def parse_band_name(text: Column, names: Sequence[str]) -> tuple[Column, Column]
     return name, F.when(good, day)
 
 
+def checked_band_name(text: Column, names: Sequence[str]) -> tuple[Column, Column]:
+    """The same, but a malformed name, a missing one among them, fails the job and is told."""
+    name, month = parse_band_name(text, names)
+    told = F.concat(F.lit("not a band name: "), F.coalesce(text, F.lit("missing")))
+    return (F.coalesce(name, F.raise_error(told).cast("string")), F.coalesce(month, F.raise_error(told).cast("date")))
+
+
 def band_name(name: Column, month: Column) -> Column:
     return F.concat_ws("_", name, F.date_format(month, "yyyyMM"))
 
@@ -123,10 +130,15 @@ def join_variables(
 
 
 def wide_bands(long: DataFrame, cell: str, band: str, value: str, names: Sequence[str]) -> DataFrame:
-    """One column per named band; a band outside the names is left out."""
-    return long.groupBy(cell).agg(
-        *(F.max(F.when(F.col(band) == n, F.col(value))).alias(n) for n in names)
+    """One column per named band; a band outside the names fails the job and is told."""
+    known = F.coalesce(F.col(band).isin(*names), F.lit(False))
+    told = F.raise_error(F.concat(F.lit("unexpected band: "), F.coalesce(F.col(band).cast("string"), F.lit("missing"))))
+    # the group's greatest stray name, so that the check is part of the aggregate
+    stray = F.max(F.when(~known, told.cast("string")))
+    wide = long.groupBy(cell).agg(
+        *(F.max(F.when(F.col(band) == n, F.col(value))).alias(n) for n in names), stray.alias("_stray")
     )
+    return wide.where(F.col("_stray").isNull()).drop("_stray")
 
 
 def long_bands(wide: DataFrame, cell: str, names: Sequence[str]) -> DataFrame:

@@ -175,3 +175,28 @@ def test_split_fields_with_whole_dates_and_times(spark):
     assert read("day") == [(31.0, True), (99.0, True), (None, False), (None, False), (None, False), (None, False), *plain, (None, False), (None, False), (None, False), (None, False), (None, False)]
     assert read("year")[:2] == [(2026.0, True), (2020.0, True)]
     assert read("hour")[3:6] == [(7.0, True), (7.0, True), (None, False)] and read("minute")[3:5] == [(5.0, True), (5.0, True)]
+
+
+def test_malformed_and_unexpected_bands_fail(spark):
+    from gridrisk.sources import payloads
+
+    good = spark.createDataFrame([("ndvi_200307",)], "t string")
+    name, month = payloads.checked_band_name(F.col("t"), ["ndvi"])
+    assert str(good.select(name, month).first()[1]) == "2003-07-01"
+    for bad in ("ndvi_200313", "ndvi200307", "evi_200307", None):
+        with pytest.raises(Exception, match="not a band name"):
+            spark.createDataFrame([(bad,)], "t string").select(name, month).collect()
+    long = spark.createDataFrame([(1, "a", 2.0), (1, "b", 3.0), (2, "a", None)], "cell long, band string, value double")
+    assert {tuple(r) for r in payloads.wide_bands(long, "cell", "band", "value", ["a", "b"]).collect()} == {(1, 2.0, 3.0), (2, None, None)}
+    with pytest.raises(Exception, match="unexpected band: b"):
+        payloads.wide_bands(long, "cell", "band", "value", ["a"]).collect()
+
+
+def test_short_tracks_are_named_and_refused(spark):
+    from gridrisk.sources import records
+
+    rows = spark.createDataFrame([(t, s, 1.0) for t, n in ((1, 4), (2, 3)) for s in range(n)], "t int, step int, rain double")
+    key = [F.lit("x"), F.col("t")]
+    assert [tuple(r) for r in records.ragged_tracks(rows, key, 4).collect()] == [("x-2", 3)]
+    with pytest.raises(Exception, match="not 4 days long"):
+        records.target_days(rows, key, "step", 4, 3, "rain", (2,), {}).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 import public_tokenizers
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from gridrisk.llm import contamination, near_duplicates, packing, privacy, quality
 from gridrisk.session import cut_lineage, remove_staged, ship_package, staged_paths
 
-_left: list[str] = []
+#: Staged tables of the stage before, apart for each thread that runs the pipeline.
+_left: ContextVar[tuple[str, ...]] = ContextVar("left", default=())
 
 
 def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
@@ -19,10 +21,10 @@ def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable
 
     @wraps(work)
     def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove_staged(ship_package(spark), _left)
+        remove_staged(ship_package(spark), list(_left.get()))
         with staged_paths() as made:
             out = work(spark, docs, sf_dir)
-        _left[:] = made
+        _left.set(tuple(made))
         return out
 
     return staged
@@ -66,7 +68,8 @@ STAGES = [
     ("packing", sequence_packing),
 ]
 
-#: SQL has no quantile sketches, no alignment and no tokenizer; tests hold run() against brute force.
+#: SQL has no quantile sketches, no alignment and no tokenizer. The tests hold the operators against
+#: plain Python, and run() against its stages called one by one.
 ORACLE_SQL = None
 
 

@@ -10,6 +10,7 @@ from gridrisk.functions.calendar import period_label
 from gridrisk.functions.physics import recency_weight
 from gridrisk.operators import evaluation as evl
 from gridrisk.operators import models as ml
+from gridrisk.operators import tuning as tn
 from gridrisk.operators.sampling import repeated_draws
 from gridrisk.session import cut_lineage
 
@@ -53,14 +54,36 @@ def cross_validation(t: Tables):
     )
 
 
+BLOCK_M = 2000.0
+BLOCKS_SQL = (
+    "c AS (SELECT l_returnflag, floor((6e5 + (l_suppkey % 40) * 5e2 + 25e1) / 2e3) AS bx, floor((52e5 - (l_suppkey // 40) * 5e2 - 25e1) / 2e3) AS yb FROM lineitem), "
+    "e AS (SELECT min(bx) AS x0, max(bx) AS x1, min(yb) AS y0 FROM c), b AS (SELECT l_returnflag, CAST((yb - y0) * (x1 - x0 + 1) + (bx - x0) AS BIGINT) AS block FROM c, e), "
+    "f AS (SELECT block, ntile(3) OVER (ORDER BY CAST('0x' || substr(md5('42|' || CAST(block AS VARCHAR)), 1, 15) AS BIGINT), block) - 1 AS fold FROM (SELECT DISTINCT block FROM b))"
+)
+
+
+def blocked(t: Tables):
+    """The design rows with folds of whole square blocks of cells, neighbours being held out together."""
+    cell = F.col("cell_id")
+    x, y = F.lit(6e5) + cell % 40 * 500.0 + 250.0, F.lit(52e5) - F.floor(cell / 40) * 500.0 - 250.0
+    placed = evl.block_id(rows(t).drop("fold").withColumns({"x": x, "y": y}), "x", "y", BLOCK_M)
+    return placed.join(evl.group_folds(placed, "block", 3, 42), "block")
+
+
 @query("i16_spatial_cross_validation")
 def spatial_cross_validation(t: Tables):
-    table = rows(t).drop("fold")
-    folds = evl.group_folds(table, "cell_id", 3, 42)
-    held_out = ml.cross_validate(table.join(folds, "cell_id"), SPEC, "fold", 3)
+    held_out = ml.cross_validate(blocked(t), SPEC, "fold", 3)
     return ml.fold_summary(held_out, "label", "fold").select("fold", "auprc", "auroc")
 
 
+@query(
+    "i16_block_folds",
+    f"WITH {BLOCKS_SQL} SELECT CAST(fold AS INT) AS fold, count(DISTINCT block) AS blocks, count(*) AS rows, count(*) FILTER (l_returnflag = 'R') AS positives FROM b JOIN f USING (block) GROUP BY fold",
+)
+def block_folds(t: Tables):
+    return blocked(t).groupBy("fold").agg(F.count_distinct("block").alias("blocks"), F.count("*").alias("rows"), F.count_if(F.col("label") == 1).alias("positives"))
+
+
 @query("i17_boosted_trees")
 def boosted_trees(t: Tables):
     """Early stopping watches the last training year; the years after it are scored."""
@@ -108,14 +131,28 @@ def stacked_score(t: Tables):
     return evl.scores(held_out, "label", "raw").select("auprc", "auroc", "brier", "lift")
 
 
-@query("i20_search")
+SPACE = {"depth": tn.Range(2, 3, whole=True), "step": tn.Range(0.05, 0.4, log=True)}
+DRAWN = "CAST('0x' || substr(md5('5|{name}|' || CAST(trial AS VARCHAR)), 1, 15) AS BIGINT) / 1152921504606846976e0"
+
+
+@query(
+    "i20_search",
+    f"WITH t AS (SELECT CAST(unnest(range(0, 2)) AS INT) AS trial), d AS (SELECT trial, least(3, floor(2 + {DRAWN.format(name='depth')} * 2)) AS depth, exp(ln(5e-2) + {DRAWN.format(name='step')} * (ln(4e-1) - ln(5e-2))) AS step FROM t) "
+    "SELECT trial, CAST(depth AS DOUBLE) AS depth, round(step, 9) AS step, true AS settled, true AS scored, CAST(1 AS BIGINT) AS best_of_each, concat_ws(',', 'depth', CASE WHEN least(step - 5e-2, 4e-1 - step) <= 2e-2 * 35e-2 THEN 'step' END) AS on_boundary FROM d",
+)
 def search(t: Tables):
-    space = {"depth": (2, 3), "step": (0.1, 0.3)}
-    trials = ml.random_trials(space, 2, 5)
-    spec = ml.Spec(FEATURES, params={"rounds": 2})
-    return ml.search(rows(t), spec, trials, "fold", 2).select(
-        "trial", "depth", "step", "auprc", "auroc", "neg_log_loss"
-    )
+    """Two trials over two year folds, up to four rounds; what the learner does not decide is checked."""
+    trials = tn.draw_trials(SPACE, 2, 5)
+    table = tn.trial_table(rows(t), SPEC, trials, "fold", 2, rounds=4, patience=2)
+    bests = {o: tn.best_trial(table, o)["trial"] for o in tn.OBJECTIVES}
+    near = F.lit(",".join(tn.on_the_boundary(trials[0], SPACE)))
+    for k, params in enumerate(trials):
+        near = F.when(F.col("trial") == k, F.lit(",".join(tn.on_the_boundary(params, SPACE)))).otherwise(near)
+    scored = F.col("pooled_auprc").between(0, 1) & F.col("fold_auroc").between(0, 1) & (F.col("fold_lift") > 0) & (F.col("fold_neg_log_loss") < 0)
+    return table.select(
+        "trial", "depth", F.round("step", 9).alias("step"), F.col("rounds").between(1, 4).alias("settled"), scored.alias("scored"),
+        F.lit(len({o for o in bests if bests[o] in range(2)}) // len(tn.OBJECTIVES)).cast("long").alias("best_of_each"), near.alias("on_boundary"),
+    )
 
 
 @query("i21_block_ablation")

@@ -121,6 +121,29 @@ def repeated_draws(t: Tables):
     return out.select("draw", F.round("auprc", 8).alias("auprc"))
 
 
+@query(
+    "i04_fixed_ratio",
+    f"WITH {WITH_SCORES}, n AS (SELECT year, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS q FROM scores GROUP BY year), k AS (SELECT year, least(p, q // 10) AS k FROM n) "
+    "SELECT CAST(year AS INT) AS year, CAST(200 AS BIGINT) AS draws, CAST(k AS BIGINT) AS positives, CAST(k * 10 AS BIGINT) AS negatives, true AS ratio_kept, true AS in_order FROM k WHERE year IN (1996, 2000)",
+)
+def fixed_ratio(t: Tables):
+    """Two hundred draws at one positive to ten negatives; the counts of every draw are checked."""
+    from gridrisk.operators.ranking import union_all
+
+    tables = []
+    for year in (1996, 2000):
+        drawn = bs.fixed_ratio_draws(t.scores().where(F.col("year") == year), "label", "score", seed=5)
+        cuts = F.percentile("auprc", F.array(F.lit(0.025), F.lit(0.975)))
+        row = drawn.agg(
+            F.count("*").alias("draws"), F.max("positives").alias("positives"), F.max("negatives").alias("negatives"),
+            F.bool_and((F.col("negatives") == 10 * F.col("positives")) & (F.col("positives") > 0)).alias("ratio_kept"),
+            F.avg("auprc").alias("mean"), cuts.alias("cuts"), F.min("positives").alias("least"),
+        )
+        held = F.col("ratio_kept") & (F.col("least") == F.col("positives"))
+        tables.append(row.select(F.lit(year).alias("year"), "draws", "positives", "negatives", held.alias("ratio_kept"), F.col("mean").between(F.col("cuts")[0], F.col("cuts")[1]).alias("in_order")))
+    return union_all(tables)
+
+
 @query(
     "i05_year_folds",
     f"WITH {WITH_SCORES}, y AS (SELECT DISTINCT year FROM scores) SELECT year, CAST(ntile(3) OVER (ORDER BY year) - 1 AS INT) AS fold FROM y",

@@ -212,3 +212,79 @@ def paired_median_gaps(df: DataFrame, cluster: str, reference: str, other: str,
     """Median of one column less that of another per replicate, both over the same resampled clusters."""
     base, changed = (cluster_medians(df, cluster, c, resamples, seed).withColumnRenamed("median", f"_{k}") for k, c in enumerate((reference, other)))
     return base.join(changed, "replicate").select("replicate", (F.col("_1") - F.col("_0")).alias("gap"))
+
+
+def fixed_ratio_draws(df: DataFrame, label: str, score: str, ratio: int = 10, draws: int = 200, seed: int = 1, slice_rows: int = SLICE) -> DataFrame:
+    """(draw, positives, negatives, auprc) of draws without replacement at exactly `ratio` negatives a positive.
+
+    Whichever side is in excess is cut. How many of a draw's rows come from each slice of the
+    classes, and within it from each class, follows the hypergeometric distribution, from a
+    generator seeded by draw and slice, so the ratio is exact and no row is written once per draw.
+    A table that cannot hold one positive at the ratio gives no rows.
+    """
+    hit = F.col(label).cast("long")
+    rows = df.where(F.col(score).isNotNull()).groupBy((-F.col(score)).alias("at")).agg(F.sum(1 - hit).alias("n0"), F.sum(hit).alias("n1"))
+    placed = rows.select(F.col("at").cast("double").alias("at"), "n0", "n1").repartitionByRange("at").sortWithinPartitions("at")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, None
+
+        def row(part: pa.Table) -> pa.RecordBatch:
+            lists = [pa.array([part[n].to_pylist()], pa.list_(pa.int64())) for n in ("n0", "n1")]
+            return pa.RecordBatch.from_arrays([pa.array([number]), *lists], names=["slice", "n0", "n1"])
+
+        for batch in batches:
+            now = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            while len(now) >= slice_rows:
+                yield row(now.slice(0, slice_rows).combine_chunks())
+                number, now = number + 1, now.slice(slice_rows)
+            held = now
+        if held is not None and len(held):
+            yield row(held.combine_chunks())
+
+    slices = cut_lineage(placed.mapInArrow(cut, "slice bigint, n0 array<bigint>, n1 array<bigint>"), "ratio-slices")
+    total = lambda n: F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)
+    sizes = slices.select("slice", total("n0").alias("n0"), total("n1").alias("n1"))
+    negatives, positives = sizes.agg(F.sum("n0"), F.sum("n1")).first()
+    kept = min(positives or 0, (negatives or 0) // ratio)
+    schema = "draw int, positives bigint, negatives bigint, auprc double"
+    if not kept:
+        return df.sparkSession.createDataFrame([], schema)
+    wanted = (kept * ratio, kept)
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # what is still to be drawn, and from how many rows; one row a slice comes by
+        left = [np.full(draws, w, np.int64) for w in wanted]
+        rest = [negatives, positives]
+        seen = np.zeros((2, draws), np.int64)
+        sources = [np.random.default_rng([seed, k]) for k in range(draws)]
+        for batch in batches:
+            out: list[np.ndarray] = []
+            before: list[np.ndarray] = []
+            for sizes_ in zip(batch.column("n0").to_pylist(), batch.column("n1").to_pylist(), strict=True):
+                taken = np.zeros((2, draws), np.int64)
+                for side, n in enumerate(sizes_):
+                    taken[side] = [s.hypergeometric(n, rest[side] - n, int(w)) if w else 0 for s, w in zip(sources, left[side], strict=True)]
+                    rest[side] -= n
+                    left[side] = left[side] - taken[side]
+                before.append(seen)
+                out.append(taken)
+                seen = seen + taken
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), _matrix(before), _matrix(out)], names=["slice", "before", "own"])
+
+    shares = cut_lineage(sizes.repartition(1).sortWithinPartitions("slice").mapInArrow(share, "slice bigint, before binary, own binary"), "ratio-shares")
+
+    def parts(row: pa.RecordBatch) -> np.ndarray:
+        before, own = (_read(row.column(n), draws)[0] for n in ("before", "own"))
+        number = row.column("slice")[0].as_py()
+        drawn = []
+        for side in (0, 1):
+            sizes_ = _column(row, f"n{side}")
+            each = [np.random.default_rng([seed, number, side, k]).multivariate_hypergeometric(sizes_, int(w), method="marginals") for k, w in enumerate(own[side])]
+            drawn.append(np.stack(each, axis=1))
+        hits, seen = before[1] + np.cumsum(drawn[1], axis=0), before.sum(axis=0) + np.cumsum(drawn[0] + drawn[1], axis=0)
+        precision = np.divide(drawn[1] * hits, seen, out=np.zeros(seen.shape), where=seen > 0)
+        return np.stack([precision.sum(axis=0), own[1], own[0]])
+
+    sums = _per_resample(slices.join(shares, "slice"), ["_precision", "_hits", "_miss"], parts, draws)
+    return sums.select(F.col("replicate").alias("draw"), F.col("_hits").cast("long").alias("positives"), F.col("_miss").cast("long").alias("negatives"), (F.col("_precision") / F.col("_hits")).alias("auprc"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridrisk.operators.evaluation import group_folds, log_loss, positive_weight, scores
+from gridrisk.operators.evaluation import group_folds, positive_weight, scores
 from gridrisk.operators.joins import with_scalars
 from gridrisk.operators.ordering import exact_percentiles, percentile_rank
 from gridrisk.operators.ranking import union_all
@@ -205,41 +205,6 @@ def stacked_score(
     return predict(model, adapted, base, out)
 
 
-def random_trials(space: Mapping[str, Sequence], n: int, seed: int) -> list[dict]:
-    """n settings drawn at random from lists of values."""
-    import random
-
-    source = random.Random(seed)
-    return [{name: source.choice(list(values)) for name, values in space.items()} for _ in range(n)]
-
-
-def search(
-    df: DataFrame, spec: Spec, trials: Sequence[Mapping], fold: str, n_folds: int
-) -> DataFrame:
-    """Mean AP, AUROC and negative balanced log loss of every trial over the folds."""
-    tables = []
-    for i, params in enumerate(trials):
-        held_out = cross_validate(df, replace(spec, params={**spec.params, **params}), fold, n_folds)
-        by_fold = scores(held_out, spec.label, "raw", [fold])
-        losses = log_loss(held_out, spec.label, "raw", [fold])
-        tables.append(
-            by_fold.join(losses, fold)
-            .agg(
-                F.avg("auprc").alias("auprc"),
-                F.avg("auroc").alias("auroc"),
-                (-F.avg("log_loss")).alias("neg_log_loss"),
-            )
-            .withColumn("trial", F.lit(i))
-            .withColumns({k: F.lit(float(v)) for k, v in params.items()})
-        )
-    return union_all(tables)
-
-
-def on_the_boundary(best: Mapping, space: Mapping[str, Sequence]) -> list[str]:
-    """Settings whose best value is an end of the range searched."""
-    return sorted(n for n, v in space.items() if best[n] in (min(v), max(v)))
-
-
 def ablation(
     df: DataFrame, spec: Spec, blocks: Mapping[str, Sequence[str]], fold: str, n_folds: int
 ) -> DataFrame:

@@ -200,3 +200,50 @@ def test_short_tracks_are_named_and_refused(spark):
     assert [tuple(r) for r in records.ragged_tracks(rows, key, 4).collect()] == [("x-2", 3)]
     with pytest.raises(Exception, match="not 4 days long"):
         records.target_days(rows, key, "step", 4, 3, "rain", (2,), {}).collect()
+
+
+def test_draws_keep_the_ratio_exactly(spark, labelled):
+    pdf, df = labelled
+    few = bootstrap.fixed_ratio_draws(df, "label", "score", ratio=10, draws=60, seed=3, slice_rows=50).toPandas()
+    p, q = int(pdf["label"].sum()), int((1 - pdf["label"]).sum())
+    kept = min(p, q // 10)
+    assert (few["positives"] == kept).all() and (few["negatives"] == 10 * kept).all() and len(few) == 60
+    # the mean agrees with draws made row by row
+    rng, own = np.random.default_rng(1), []
+    for _ in range(60):
+        rows = pd.concat([pdf[pdf["label"] == y].sample(n, random_state=int(rng.integers(1 << 30))) for y, n in ((1, kept), (0, 10 * kept))])
+        classes = rows.groupby("score")["label"].agg(["sum", "count"]).sort_index(ascending=False).cumsum()
+        hits = classes["sum"].diff().fillna(classes["sum"])
+        own.append((hits * classes["sum"] / classes["count"]).sum() / kept)
+    assert abs(few["auprc"].mean() - np.mean(own)) < 4 * (few["auprc"].std() + np.std(own)) / math.sqrt(60)
+    assert few["auprc"].std() < 3 * np.std(own) < 9 * few["auprc"].std()
+    all_of_it = bootstrap.fixed_ratio_draws(df.where("label = 1").unionByName(df.where("label = 0")), "label", "score", ratio=max(1, q // p), draws=3, slice_rows=50)
+    assert all_of_it.count() == 3
+    assert bootstrap.fixed_ratio_draws(df.where("label = 1"), "label", "score").count() == 0
+
+
+def test_rounds_settle_and_trials_are_ranked(spark):
+    from gridrisk.operators import tuning
+
+    assert tuning.settled_rounds([5, 4, 3, 3.5, 3.2, 2, 1], 2) == 3 and tuning.settled_rounds([5, 4, 3, 3.5, 3.2, 2, 1], 3) == 7 and tuning.settled_rounds([1.0], 5) == 1
+    space = {"depth": tuning.Range(2, 5, whole=True), "step": tuning.Range(0.01, 0.5, log=True)}
+    drawn = tuning.draw_trials(space, 50, 3)
+    assert {d["depth"] for d in drawn} == {2, 3, 4, 5} and all(0.01 <= d["step"] <= 0.5 for d in drawn) and drawn[:10] == tuning.draw_trials(space, 10, 3)
+    assert tuning.on_the_boundary({"depth": 2, "step": 0.3}, space) == ["depth"] and tuning.on_the_boundary({"depth": 3, "step": 0.495}, space) == ["step"]
+    rows = [(float(k % 41), float((k * 7) % 13), int((k % 41) > 25 and k % 3 > 0), k % 2) for k in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, label int, fold int")
+    spec = models.Spec(("a", "b"), params={"depth": 2})
+    table = tuning.trial_table(df, spec, [{"step": 0.1}, {"step": 0.3}], "fold", 2, rounds=4, patience=2)
+    pdf = table.toPandas().sort_values("trial")
+    con = duckdb.connect()
+    con.register("trials", pdf)
+    for objective in tuning.OBJECTIVES:
+        best = tuning.best_trial(table, objective)
+        assert best["trial"] == con.execute(f"SELECT trial FROM trials ORDER BY {objective} DESC, trial LIMIT 1").fetchone()[0]
+    model = tuning.final_fit(df, spec, best, {"step": tuning.Range(0.1, 0.3)})
+    assert model.stages[-1].getNumTrees == best["rounds"] and 1 <= best["rounds"] <= 4
+    # a run cut short is the beginning of the longer one
+    losses = [tuning.staged_losses(models.fit(df, models.Spec(("a", "b"), params={"depth": 2, "rounds": n})), df, spec) for n in (2, 4)]
+    assert np.allclose(losses[0], losses[1][:2])
+    with pytest.raises(ValueError, match="not an objective"):
+        tuning.best_trial(table, "auprc")

@@ -30,7 +30,7 @@ TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 #: A word of letters alone.
 LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: Longs of the bits that words are sieved by; 512 KB whatever the corpus.
+#: Longs of the bits that words are sieved by, some 1 MB whatever the corpus.
 SIEVE = 1 << 16
 SHARE = 0.75  # of the entity's information
 LEAST_LETTERS = 3
@@ -113,12 +113,9 @@ def revealing(words: DataFrame, near: DataFrame, entities: DataFrame, texts: int
 
 
 def sieve(terms: DataFrame) -> DataFrame:
-    """One row with `bits`, an array of SIEVE longs that has a bit for each term; its size is fixed."""
+    """(at, bits): at most SIEVE longs with a bit for each term, so a table of fixed size at most."""
     bit = F.pmod(F.col("term"), F.lit(64 * SIEVE))
-    longs = terms.select(F.floor(bit / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(term, {64 * SIEVE}) % 64 as int))").alias("bit"))
-    # a map of what is there, filled up to an array
-    packed = longs.groupBy("at").agg(F.bit_or("bit").alias("bits")).agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("there"))
-    return packed.select(F.transform(F.sequence(F.lit(0), F.lit(SIEVE - 1)), lambda k: F.coalesce(F.try_element_at("there", k), F.lit(0).cast("long"))).alias("bits"))
+    return terms.groupBy(F.floor(bit / 64).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(term, {64 * SIEVE}) % 64 as int))")).alias("bits"))
 
 
 def private_spans(docs: DataFrame, text: str = "text", keep_text: bool = True, **options) -> DataFrame:
@@ -144,9 +141,10 @@ def private_spans(docs: DataFrame, text: str = "text", keep_text: bool = True, *
     held = staged.where(F.size("spans") > 0).select("text_key", F.explode("spans").alias("x")).select("text_key", F.xxhash64("x.kind", "x.value").alias("entity"))
     terms = cut_lineage(revealing(words, near, held, texts, **options), "private-revealing")
     # words whose bit is not in the sieve are no such terms; the rest meet them exactly
-    passing = staged.withColumn("_one", F.lit(0)).join(F.broadcast(sieve(terms).withColumn("_one", F.lit(0))), "_one")
-    kept = F.filter(terms_of(outside), lambda t: F.call_function("getbit", F.get("bits", F.floor(F.pmod(t, F.lit(64 * SIEVE)) / 64).cast("int")), (F.pmod(t, F.lit(64 * SIEVE)) % 64).cast("int")) == 1)
-    hits = passing.select("_rid", F.explode(kept).alias("term")).join(terms, "term").groupBy("_rid").agg(F.collect_set("term").alias("terms"))
+    bit = F.pmod(F.col("term"), F.lit(64 * SIEVE))
+    places = staged.select("_rid", F.explode(terms_of(outside)).alias("term")).withColumn("at", F.floor(bit / 64))
+    passing = places.join(F.broadcast(cut_lineage(sieve(terms), "private-sieve")), "at").where(F.call_function("getbit", F.col("bits"), (bit % 64).cast("int")) == 1)
+    hits = passing.select("_rid", "term").join(terms, "term").groupBy("_rid").agg(F.collect_set("term").alias("terms"))
 
     def free(spans: Column) -> Column:
         return F.filter(matches(whole, LETTERS, "term", lambda v: F.array_contains("terms", F.xxhash64(F.lower(v)))), lambda x: ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))

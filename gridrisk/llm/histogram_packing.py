@@ -191,5 +191,5 @@ def with_rank(pieces: DataFrame, offsets: DataFrame) -> DataFrame:
     return pieces.join(offsets, ["length", "_shard"]).withColumn("rank", rank)
 
 
-def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
-    return packed(docs.select("doc_id", "text"), tokenizer).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "doc_tokens")
+def digest(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
+    return packed(docs.select("doc_id", "text"), tokenizer, end=end).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "doc_tokens")

@@ -15,19 +15,25 @@ def temporal_percentile(
 ) -> DataFrame:
     """Rank of the event's own day among the days around it, at the event's cell.
 
-    Each event is expanded to its 2 x reach + 1 days, so the range join is an equi-join on cell
-    and day; the rank within those days needs only counts of lower and equal scores.
+    Days are numbered in blocks as long as the window, so an event meets the two or three blocks
+    its window touches by an equi-join on cell and block, whatever the reach; the rank within
+    those days needs only counts of lower and equal scores. An exploded side looks smaller to the
+    planner than it is, so the joins are told to merge.
     """
-    days = F.sequence(
-        F.date_sub("event_date", reach), F.date_add("event_date", reach), F.expr("interval 1 day")
-    )
-    spread = events.select(event, "cell_id", "event_date", F.explode(days).alias("date"))
-    found = spread.join(scored, ["cell_id", "date"])
+    width = F.lit(2 * reach + 1)
+
+    def block(day: Column) -> Column:
+        return F.floor(F.unix_date(day) / width)
+
+    first, last = F.date_sub("event_date", reach), F.date_add("event_date", reach)
+    spread = events.select(event, "cell_id", "event_date", F.explode(F.sequence(block(first), block(last))).alias("_block"))
+    placed = scored.withColumn("_block", block(F.col("date")))
+    found = spread.hint("merge").join(placed, ["cell_id", "_block"]).where(F.col("date").between(first, last))
     own = found.where(F.col("date") == F.col("event_date")).select(
         event, F.col("raw").alias("own")
     )
     counted = (
-        found.join(own, event)
+        found.join(own.hint("merge"), event)
         .groupBy(event)
         .agg(
             F.count("*").alias("window_days"),

@@ -239,6 +239,12 @@ def _piece_distance(x: str, y: str) -> Column:
     )
 
 
+#: Pieces that the points of a box are measured against without cutting the box again.
+PIECES_OF_BOX = 64
+#: How often a square of one bucket is halved, for points and for pieces.
+HALVINGS = 7
+
+
 def nearest_distance(
     points: DataFrame,
     segments: DataFrame,
@@ -251,96 +257,140 @@ def nearest_distance(
 ) -> DataFrame:
     """Distance of each point to the nearest segment of its `by` group; NULL without any.
 
-    Most points find their segment in the nine buckets around them, which settles it up to half a
-    bucket. The rest go down a quadtree of the occupied buckets: at each level only boxes that may
-    still hold the nearest piece are kept, so a remote point meets a handful of buckets and never
-    all pieces of a dense region.
+    Boxes of points, not points, look for their pieces. A box goes down a quadtree of the pieces
+    and keeps what may be nearest to some place in it, then all its quarters that hold points do
+    the same with the pieces that are left, until few are. A remote box sees all pieces from nearly
+    one side, so a handful stays however large or dense the region of the pieces is.
     """
     keys = [*by, *key]
     place = points.select(*keys, F.col(x).alias("_px"), F.col(y).alias("_py"))
+    place = cut_lineage(place.where(F.col("_px").isNotNull() & F.col("_py").isNotNull()), "places")
     pieces = cut_lineage(_bucketed(segments, bucket, by), "pieces")
-    near = (
-        _around(place, "_px", "_py", bucket)
-        .join(pieces, [*by, "_bx", "_by"])
-        .groupBy(*keys)
-        .agg(F.min(_piece_distance("_px", "_py")).alias("_d"))
-    )
-    first = cut_lineage(place.join(near, keys, "left"), "nearest")
-    settled = first.where(F.col("_d") <= bucket / 2)
-    rest = first.where(F.col("_d").isNull() | (F.col("_d") > bucket / 2))
-    far = _descend(rest, pieces, bucket, keys, list(by))
-    if far is None:
-        found = settled.select(*keys, "_d")
-    else:
-        best = far.groupBy(*keys).agg(F.min("_d").alias("_d"))
-        found = settled.select(*keys, "_d").unionByName(best)
-    return points.join(found.withColumnRenamed("_d", out), keys, "left")
-
-
-def _descend(
-    rest: DataFrame, pieces: DataFrame, bucket: float, keys: list[str], by: list[str]
-) -> DataFrame | None:
-    """Candidate distances of the points the first ring could not settle."""
-    ends = pieces.agg(
-        F.min("_bx").alias("x0"), F.max("_bx").alias("x1"), F.min("_by").alias("y0"),
-        F.max("_by").alias("y1"),
-    ).first()
-    if ends["x0"] is None or rest.limit(1).count() == 0:
+    found = []
+    pairs = _pieces_of_boxes(place, pieces, bucket, list(by))
+    for halved in range(HALVINGS + 1):
+        if pairs is None:
+            break
+        box = [*by, "_gx", "_gy"]
+        placed = _boxed(place, bucket / 2**halved)
+        crowded = pairs.groupBy(*box).agg(F.count("*").alias("_n")).where(F.col("_n") > PIECES_OF_BOX)
+        crowded = cut_lineage(crowded.select(*box), "crowded-boxes")
+        last = halved == HALVINGS or crowded.isEmpty()
+        done = pairs if last else pairs.join(crowded, box, "left_anti")
+        measured = placed.join(done, box).groupBy(*keys).agg(F.min(_piece_distance("_px", "_py")).alias("_d"))
+        found.append(cut_lineage(measured, "nearest"))
+        if last:
+            break
+        place = cut_lineage(placed.join(crowded, box, "left_semi").drop("_gx", "_gy"), "places")
+        quarters = _boxed(place, bucket / 2 ** (halved + 1)).select(*box).distinct()
+        parents = quarters.select(*by, F.col("_gx").alias("_cx"), F.col("_gy").alias("_cy"), F.floor(F.col("_gx") / 2).alias("_gx"), F.floor(F.col("_gy") / 2).alias("_gy"))
+        inner = parents.join(pairs, box).drop("_gx", "_gy").withColumnsRenamed({"_cx": "_gx", "_cy": "_gy"})
+        pairs = _nearer_pieces(inner, bucket / 2 ** (halved + 1), box)
+    if not found:
+        return points.withColumn(out, F.lit(None).cast("double"))
+    best = found[0]
+    for more in found[1:]:
+        best = best.unionByName(more)
+    return points.join(best.withColumnRenamed("_d", out), keys, "left")
+
+
+def _boxed(place: DataFrame, size: float) -> DataFrame:
+    return place.withColumns({"_gx": F.floor(F.col("_px") / F.lit(size)), "_gy": F.floor(F.col("_py") / F.lit(size))})
+
+
+def _may_be_nearest(gap: Column, reached: Column, far: Column, reach: float) -> Column:
+    """Whether what is `gap` from the middle of a box may be nearer than a known place to some point in it.
+
+    The known place is `reached` from the middle, which no kept thing is further than, and at most
+    `far` from any place of the thing; `reach` is the half diagonal of the box. Along a way of that
+    length the lead changes by no more than the directions to both differ.
+    """
+    both = F.greatest(gap - reach, F.lit(0.0)) + F.greatest(reached - reach, F.lit(0.0))
+    turn = F.when(far >= both, F.lit(2.0)).otherwise(2.0 * far / both)
+    return gap - reached <= F.lit(reach) * turn + 1e-9 * (reached + reach)
+
+
+def _middle(size: float) -> tuple[Column, Column]:
+    return (F.col("_gx") + 0.5) * F.lit(size), (F.col("_gy") + 0.5) * F.lit(size)
+
+
+def _pieces_of_boxes(place: DataFrame, pieces: DataFrame, bucket: float, by: list[str]) -> DataFrame | None:
+    """(by, _gx, _gy, x1 ... y2): the pieces that may be nearest to a point in a box of one bucket.
+
+    Both sides go down by halves; the boxes of points stay as they are from one bucket on.
+    """
+    ends = pieces.agg(F.min("_bx").alias("x0"), F.max("_bx").alias("x1"), F.min("_by").alias("y0"), F.max("_by").alias("y1")).first()
+    held = _boxed(place, bucket).select(*by, "_gx", "_gy").distinct()
+    held = cut_lineage(held, "boxes")
+    span = held.agg(F.min("_gx").alias("x0"), F.max("_gx").alias("x1"), F.min("_gy").alias("y0"), F.max("_gy").alias("y1")).first()
+    if ends["x0"] is None or span["x0"] is None:
         return None
-    occupied = cut_lineage(pieces.select(*by, "_bx", "_by").distinct(), "occupied")
-    span = max(ends["x1"] - ends["x0"], ends["y1"] - ends["y0"], 1)
-    top = math.ceil(math.log2(span + 1))
-    scale = 2**top
-    # two by two boxes at most cover the whole extent at the top level
-    roots = [
-        (i, j)
-        for i in range(ends["x0"] // scale, ends["x1"] // scale + 1)
-        for j in range(ends["y0"] // scale, ends["y1"] // scale + 1)
-    ]
-    boxes = F.array(*(F.struct(F.lit(i).alias("_bx"), F.lit(j).alias("_by")) for i, j in roots))
-    open_boxes = rest.select(*keys, "_px", "_py", F.col("_d").alias("_best"), F.inline(boxes))
-    open_boxes = open_boxes.withColumns(
-        {"_bx": F.col("_bx").cast("bigint"), "_by": F.col("_by").cast("bigint")}
-    )
-    for level in range(top - 1, -1, -1):
-        width = bucket * 2**level
-        children = F.array(
-            *(
-                F.struct((F.col("_bx") * 2 + i).alias("cx"), (F.col("_by") * 2 + j).alias("cy"))
-                for i in (0, 1)
-                for j in (0, 1)
-            )
-        )
-        step = 2**level
-        there = occupied.select(
-            *by, F.floor(F.col("_bx") / step).alias("_bx"), F.floor(F.col("_by") / step).alias("_by")
-        ).distinct()
-        split = (
-            open_boxes.select(*keys, "_px", "_py", "_best", F.inline(children))
-            .withColumnsRenamed({"cx": "_bx", "cy": "_by"})
-            .join(there, [*by, "_bx", "_by"], "left_semi")
-        )
-        x0, y0 = F.col("_bx") * F.lit(width), F.col("_by") * F.lit(width)
-        x1, y1 = x0 + F.lit(width), y0 + F.lit(width)
-        low = F.hypot(
-            F.greatest(x0 - F.col("_px"), F.lit(0.0), F.col("_px") - x1),
-            F.greatest(y0 - F.col("_py"), F.lit(0.0), F.col("_py") - y1),
-        ) - F.lit(bucket / 2)
-        high = F.hypot(
-            F.greatest(F.abs(F.col("_px") - x0), F.abs(F.col("_px") - x1)),
-            F.greatest(F.abs(F.col("_py") - y0), F.abs(F.col("_py") - y1)),
-        )
-        # a point keeps a handful of boxes, so the window per point is small
-        best = F.least(
-            F.coalesce("_best", F.lit(math.inf)), F.min(high).over(Window.partitionBy(*keys))
-        )
-        kept = split.withColumns({"_low": low, "_best": best}).where(
-            F.col("_low") <= F.col("_best")
-        )
-        open_boxes = cut_lineage(kept.drop("_low"), "boxes")
-    return open_boxes.join(pieces, [*by, "_bx", "_by"]).select(
-        *keys, _piece_distance("_px", "_py").alias("_d")
-    )
+    x = (F.col("x1") + F.col("x2")) / 2.0
+    y = (F.col("y1") + F.col("y2")) / 2.0
+    low = {"_lx": F.least("x1", "x2"), "_ly": F.least("y1", "y2"), "_hx": F.greatest("x1", "x2"), "_hy": F.greatest("y1", "y2")}
+
+    def tree(level: int) -> DataFrame:
+        """A row a box of pieces: their extent and one place on them."""
+        size = F.lit(bucket * 2.0**level)
+        rows = pieces.select(*by, F.floor(x / size).alias("_qx"), F.floor(y / size).alias("_qy"), F.col("x1").alias("_rx"), F.col("y1").alias("_ry"), *(c.alias(n) for n, c in low.items()))
+        return rows.groupBy(*by, "_qx", "_qy").agg(
+            *(F.min(n).alias(n) for n in ("_lx", "_ly")), *(F.max(n).alias(n) for n in ("_hx", "_hy")), F.min(F.struct("_rx", "_ry")).alias("_r")
+        )
+
+    widest = max(ends["x1"] - ends["x0"], ends["y1"] - ends["y0"], 1)
+    top = math.ceil(math.log2(widest + 1))
+    # fine enough for some sixteen pieces a box where they are spread evenly
+    counts = pieces.groupBy(*by, "_bx", "_by").agg(F.count("*").alias("_n")).agg(F.avg("_n")).first()[0]
+    least = -min(HALVINGS, max(0, math.ceil(math.log(counts / 16, 4)))) if counts > 16 else 0
+    open_ = None
+    for level in range(top, least - 1, -1):
+        grown = max(level, 0)
+        size = bucket * 2.0**grown
+        boxes = held.select(*by, *(F.floor(F.col(c) / 2**grown).alias(c) for c in ("_gx", "_gy"))).distinct()
+        there = tree(level)
+        if open_ is None:
+            # two by two boxes of pieces at most
+            met = boxes.join(there, by) if by else boxes.crossJoin(there)
+        else:
+            child = F.array(*(F.struct((F.col("_qx") * 2 + i).alias("_u"), (F.col("_qy") * 2 + j).alias("_v")) for i in (0, 1) for j in (0, 1)))
+            down = open_.select(*by, "_gx", "_gy", F.inline(child)).withColumnsRenamed({"_u": "_qx", "_v": "_qy"})
+            if level >= 0:
+                parents = boxes.select(*by, F.col("_gx").alias("_cx"), F.col("_gy").alias("_cy"), F.floor(F.col("_gx") / 2).alias("_gx"), F.floor(F.col("_gy") / 2).alias("_gy"))
+                down = parents.join(down, [*by, "_gx", "_gy"]).drop("_gx", "_gy").withColumnsRenamed({"_cx": "_gx", "_cy": "_gy"})
+            met = down.join(there, [*by, "_qx", "_qy"])
+        cx, cy = _middle(size)
+        reach = size * math.sqrt(0.5)
+        gap = F.hypot(F.greatest(F.col("_lx") - cx, F.lit(0.0), cx - F.col("_hx")), F.greatest(F.col("_ly") - cy, F.lit(0.0), cy - F.col("_hy")))
+        own = F.hypot(F.col("_r._rx") - cx, F.col("_r._ry") - cy)
+        box = [*by, "_gx", "_gy"]
+        met = met.withColumns({"_gap": gap, "_own": own})
+        # a box keeps boxes along one side of the region, so the window of a box is small
+        best = F.min(F.struct("_own", "_r")).over(Window.partitionBy(*box))
+        met = met.withColumn("_best", best)
+        rx, ry = F.col("_best._r._rx"), F.col("_best._r._ry")
+        far = F.hypot(F.greatest(F.abs(F.col("_lx") - rx), F.abs(F.col("_hx") - rx)), F.greatest(F.abs(F.col("_ly") - ry), F.abs(F.col("_hy") - ry)))
+        kept = met.where(_may_be_nearest(F.col("_gap"), F.col("_best._own"), far, reach))
+        open_ = cut_lineage(kept.select(*box, "_qx", "_qy"), "open-boxes")
+    size = F.lit(bucket * 2.0**least)
+    placed = pieces.select(*by, F.floor(x / size).alias("_qx"), F.floor(y / size).alias("_qy"), "x1", "y1", "x2", "y2")
+    return _nearer_pieces(open_.join(placed, [*by, "_qx", "_qy"]).drop("_qx", "_qy"), bucket, [*by, "_gx", "_gy"])
+
+
+def _nearer_pieces(pairs: DataFrame, size: float, box: list[str]) -> DataFrame:
+    """The pairs of a box and a piece in which the piece may be nearest to some point in the box."""
+    cx, cy = _middle(size)
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    along = F.coalesce(F.try_divide((cx - F.col("x1")) * dx + (cy - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+    met = pairs.withColumns({"_fx": F.col("x1") + t * dx, "_fy": F.col("y1") + t * dy})
+    met = met.withColumn("_gap", F.hypot(F.col("_fx") - cx, F.col("_fy") - cy))
+    met = cut_lineage(met, "met-pieces")
+    best = met.groupBy(*box).agg(F.min(F.struct("_gap", "_fx", "_fy")).alias("_best"))
+    known = met.join(best, box)
+    rx, ry, own = F.col("_best._fx"), F.col("_best._fy"), F.col("_best._gap")
+    far = F.greatest(*(F.hypot(F.col(f"x{k}") - rx, F.col(f"y{k}") - ry) for k in (1, 2)))
+    kept = known.where(_may_be_nearest(F.col("_gap"), own, far, size * math.sqrt(0.5)))
+    return cut_lineage(kept.select(*box, "x1", "y1", "x2", "y2"), "box-pieces")
 
 
 def within_distance(

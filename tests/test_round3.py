@@ -29,3 +29,27 @@ def test_temporal_percentile_lists_blocks_and_not_days(spark):
     assert "interval" not in plan.lower()  # no row a day
     physical = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in physical
+
+
+def test_remote_boxes_keep_few_pieces(spark, monkeypatch):
+    """Remote points of a dense region met every piece of its rim, box by box of points few stay."""
+    import numpy as np
+
+    from gridrisk.operators import spatial
+
+    rng = np.random.default_rng(5)
+    a = rng.uniform(0, 20000, (4000, 2))
+    b = a + rng.uniform(-1500, 1500, a.shape)
+    q = np.concatenate([rng.uniform([0, -9e5], [20000, 0], (1500, 2)), rng.uniform(-3000, 23000, (500, 2))])
+    lines = spark.createDataFrame([(*map(float, u), *map(float, v)) for u, v in zip(a, b, strict=True)], "x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(q)], "p int, x double, y double")
+    met = []
+    whole = spatial._pieces_of_boxes
+    monkeypatch.setattr(spatial, "_pieces_of_boxes", lambda *args: met.append(whole(*args)) or met[-1])
+    got = {r.p: r.distance for r in spatial.nearest_distance(points, lines, 4000.0, ["p"]).collect()}
+    d = b - a
+    for k, p in enumerate(q):
+        t = np.clip(((p - a) * d).sum(1) / (d * d).sum(1), 0, 1)
+        assert abs(got[k] - np.linalg.norm(p - (a + t[:, None] * d), axis=1).min()) < 1e-6
+    remote = met[0].where("_gy < -20").groupBy("_gx", "_gy").count().agg(F.max("count")).first()[0]
+    assert remote <= 64

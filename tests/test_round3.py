@@ -53,3 +53,23 @@ def test_remote_boxes_keep_few_pieces(spark, monkeypatch):
         assert abs(got[k] - np.linalg.norm(p - (a + t[:, None] * d), axis=1).min()) < 1e-6
     remote = met[0].where("_gy < -20").groupBy("_gx", "_gy").count().agg(F.max("count")).first()[0]
     assert remote <= 64
+
+
+def test_boosted_trees_learn_from_classes_what_they_learn_from_rows(spark, monkeypatch):
+    """The learner used to be given, and cached, every row."""
+    from gridrisk.operators import models as ml
+
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 1.0, 2.0, 3.0]), float(rng.randrange(40)), rng.randrange(3) == 0, k) for k in range(3000)]
+    rows = [(a, b, int(c or (b > 30 and a == 2.0)), k) for a, b, c, k in rows]
+    df = spark.createDataFrame(rows, "a double, b double, label int, k int").repartition(3)
+    spec = ml.Spec(("a", "b"), params={"rounds": 4, "depth": 3})
+    given = []
+    plain = ml.collapsed
+    monkeypatch.setattr(ml, "collapsed", lambda binned, *rest: given.append((binned, plain(binned, *rest))) or given[-1][1])
+    few = ml.fit(df, spec)
+    assert given[0][1].count() <= 4 * 32 * 2 < given[0][0].count() == 3000
+    monkeypatch.setattr(ml, "collapsed", lambda binned, spec, *more: binned.select(*ml._binned(spec), "_label", *more, "_weight"))
+    every = ml.fit(df, spec)
+    a, b = ({r.k: r.raw for r in ml.predict(m, df, spec).collect()} for m in (few, every))
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-9

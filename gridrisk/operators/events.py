@@ -111,6 +111,28 @@ def exclusion_pairs(
     return inner.unionByName(outer)
 
 
+#: Days of a block: those of one mask.
+BLOCK_DAYS = 32
+
+
+def day_masks(pairs: DataFrame, keys: Sequence[str], first: Column) -> DataFrame:
+    """(keys, block, mask): the days of each key, counted from `first`, as bits of blocks of 32 days.
+
+    Rows of a span fall together before they are shuffled, so what moves grows with the spans and
+    not with their days. The days are the bits, so a day that many rows name is one.
+    """
+    offset = F.date_diff(F.col("date"), first)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(offset, F.lit(BLOCK_DAYS)))
+    block = F.floor(offset / BLOCK_DAYS).cast("int")
+    return pairs.groupBy(*keys, block.alias("block")).agg(F.bit_or(bit).alias("mask"))
+
+
+def days_of(masks: DataFrame) -> DataFrame:
+    """A row a day again: `offset`, in days from the masks' first day."""
+    days = F.filter(F.sequence(F.lit(0), F.lit(BLOCK_DAYS - 1)), lambda k: F.getbit("mask", k) == 1)
+    return masks.select("*", F.explode(days).alias("_k")).withColumn("offset", F.col("block") * BLOCK_DAYS + F.col("_k")).drop("_k", "block", "mask")
+
+
 def unique_exclusions(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("cell_id", "date").agg(F.min("level").alias("level"))
 

@@ -73,3 +73,25 @@ def test_boosted_trees_learn_from_classes_what_they_learn_from_rows(spark, monke
     every = ml.fit(df, spec)
     a, b = ({r.k: r.raw for r in ml.predict(m, df, spec).collect()} for m in (few, every))
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-9
+
+
+def test_excluded_days_are_bits_before_they_are_shuffled(spark):
+    from gridrisk.operators import calibration, events, sampling
+
+    rng = random.Random(8)
+    days = [(c, DAY + dt.timedelta(rng.randrange(-70, 200))) for c in range(6) for _ in range(150)]
+    pairs = spark.createDataFrame(days, "cell_id int, date date")
+    positions = spark.createDataFrame([(c, c) for c in range(5)], "cell_id int, position bigint")
+    first, n = "2000-01-01", 100
+    want = {c * n + (d - DAY).days for c, d in days if c < 5 and 0 <= (d - DAY).days < n}
+    flat = [r.flat for r in sampling.flat_exclusions(positions, pairs, first, n).collect()]
+    assert len(flat) == len(want) and set(flat) == want
+    assert sampling.pool_size(positions, pairs, first, n) == 5 * n - len(want)
+    out = calibration.sampling_rate(positions, pairs, first, "2000-04-09", positions).first()
+    assert out.excluded_cell_days == len(want)
+    drawn = sampling.sample_negatives(positions, pairs, 5 * n - len(want), first, n, 3).collect()
+    assert {r.cell_id * n + (r.date - DAY).days for r in drawn} == set(range(5 * n)) - want
+    masks = events.day_masks(pairs, ["cell_id"], F.lit(first).cast("date"))
+    assert masks.count() <= 6 * 10
+    back = [(r.cell_id, r.offset) for r in events.days_of(masks).collect()]
+    assert len(back) == len(set(back)) and set(back) == {(c, (d - DAY).days) for c, d in days}

@@ -142,14 +142,21 @@ def near_other_events(positives: DataFrame, pairs: DataFrame, events: DataFrame)
 
     Only whether some other source reaches the cell-day matters. The pairs are first reduced to
     the smallest and largest source per cell-day, so a cell-day many events reach stays one row.
+    They meet the positives as bits of blocks of days, never day by day.
     """
+    epoch = F.lit("1970-01-01").cast("date")
+    masks = day_masks(pairs, ["fire_id", "cell_id"], epoch)
+    offset = F.date_diff(F.col("date"), epoch)
+    wanted = positives.select(
+        "cell_id", "date", F.floor(offset / BLOCK_DAYS).cast("int").alias("block"), F.pmod(offset, F.lit(BLOCK_DAYS)).alias("_bit")
+    ).distinct()
+    met = masks.join(wanted, ["cell_id", "block"]).where(F.getbit("mask", F.col("_bit")) == 1)
     source = events.select(
         "fire_id",
         F.struct(F.col("cell_id").alias("c"), F.col("start_date").alias("d")).alias("source"),
     )
     reached = (
-        pairs.select("fire_id", "cell_id", "date")
-        .join(positives.select("cell_id", "date"), ["cell_id", "date"], "left_semi")
+        met.select("fire_id", "cell_id", "date")
         .join(source, "fire_id")
         .groupBy("cell_id", "date")
         .agg(F.min("source").alias("low"), F.max("source").alias("high"))

@@ -95,3 +95,18 @@ def test_excluded_days_are_bits_before_they_are_shuffled(spark):
     assert masks.count() <= 6 * 10
     back = [(r.cell_id, r.offset) for r in events.days_of(masks).collect()]
     assert len(back) == len(set(back)) and set(back) == {(c, (d - DAY).days) for c, d in days}
+
+
+def test_near_other_events_meet_blocks_of_days(spark):
+    from gridrisk.operators import events
+
+    rng = random.Random(4)
+    fires = [(k, rng.randrange(8), DAY + dt.timedelta(rng.randrange(-40, 60))) for k in range(50)]
+    ev = spark.createDataFrame(fires, "fire_id int, cell_id int, start_date date").withColumn("end_date", F.date_add("start_date", 2))
+    near = spark.createDataFrame([(k, c + i) for k, c, _ in fires for i in (-1, 0, 1)], "fire_id int, cell_id int")
+    pairs = events.exclusion_pairs(ev, near, near)
+    positives = ev.select("cell_id", F.col("start_date").alias("date")).distinct()
+    out = events.near_other_events(positives, pairs, ev)
+    want = {(c, d): any(abs(c2 - c) <= 1 and -2 <= (d - d2).days <= 4 and (c2, d2) != (c, d) for _, c2, d2 in fires) for _, c, d in fires}
+    assert {(r.cell_id, r.date): r.is_near_fire for r in out.collect()} == want and len(set(want.values())) == 2
+    assert "bit_or" in out._jdf.queryExecution().optimizedPlan().toString()

@@ -194,18 +194,22 @@ def later_cases(events: DataFrame, last_year: int, lon: Column, lat: Column) ->
 def shift_near_midnight(
     samples: DataFrame, events: DataFrame, first: str, last: str, late: int = 22, early: int = 2
 ) -> DataFrame:
-    """Move positives logged beside midnight to the day next to it; the positive wins a collision."""
+    """Move positives logged beside midnight to the day next to it; the positive wins a collision.
+
+    Only positives with an event meet its hour. The others go round the join: without an event they
+    would all have the same key and meet in one task.
+    """
     hours = events.select("fire_id", "start_hour")
     hour = F.col("start_hour")
-    move = (
-        F.when(F.col("is_fire") & (hour >= late), F.lit(1))
-        .when(F.col("is_fire") & (hour < early), F.lit(-1))
-        .otherwise(F.lit(0))
+    move = F.when(hour >= late, F.lit(1)).when(hour < early, F.lit(-1)).otherwise(F.lit(0))
+    with_hour = F.coalesce(F.col("is_fire") & F.col("fire_id").isNotNull(), F.lit(False))
+    # merged, as the planner takes a projection of many events for small and broadcasts it
+    met = samples.where(with_hour).join(hours.hint("merge"), "fire_id", "left")
+    moved = met.withColumn("date", F.date_add("date", move)).drop("start_hour")
+    both = moved.select(*samples.columns).unionByName(
+        samples.where(~with_hour).withColumn("date", F.col("date").cast("date"))
     )
-    moved = samples.join(hours, "fire_id", "left").withColumn("date", F.date_add("date", move))
-    inside = moved.where(
-        F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    ).drop("start_hour")
+    inside = both.where(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     keep = [c for c in samples.columns if c not in ("cell_id", "date")]
     best = F.max_by(
         F.struct(*keep), F.struct(F.col("is_fire"), -F.col("sample_id"))

@@ -110,3 +110,26 @@ def test_near_other_events_meet_blocks_of_days(spark):
     want = {(c, d): any(abs(c2 - c) <= 1 and -2 <= (d - d2).days <= 4 and (c2, d2) != (c, d) for _, c2, d2 in fires) for _, c, d in fires}
     assert {(r.cell_id, r.date): r.is_near_fire for r in out.collect()} == want and len(set(want.values())) == 2
     assert "bit_or" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_without_an_event_go_round_the_join_with_hours(spark):
+    from gridrisk.operators import events
+
+    rng = random.Random(6)
+    hours = {k: rng.randrange(24) for k in range(0, 80, 2)}
+    rows = [(k, rng.randrange(4), DAY + dt.timedelta(rng.randrange(6)), rng.choice([True, True, False, None]), rng.choice([k, k, None])) for k in range(120)]
+    samples = spark.createDataFrame(rows, "sample_id int, cell_id int, date date, is_fire boolean, fire_id int")
+    fires = spark.createDataFrame(list(hours.items()), "fire_id int, start_hour int")
+    out = events.shift_near_midnight(samples, fires, "2000-01-01", "2000-01-05")
+    want = {}
+    for k, c, d, hit, f in rows:
+        hour = hours.get(f, 12) if hit else 12
+        d += dt.timedelta((hour >= 22) - (hour < 2))
+        rank = (hit is not None, bool(hit), -k)
+        if DAY <= d <= DAY + dt.timedelta(4) and rank > want.get((c, d), ((False, False, -999), None))[0]:
+            want[c, d] = (rank, (k, hit, f))
+    assert {(r.cell_id, r.date): (r.sample_id, r.is_fire, r.fire_id) for r in out.collect()} == {k: v for k, (_, v) in want.items()}
+    assert out.columns == samples.columns
+    # without an event they had one key, and met in one task
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()

@@ -93,7 +93,8 @@ def stratified_sample(t: Tables):
     "SELECT year, label, count(*) AS n, CAST(sum(row_id % 1000) AS BIGINT) AS fingerprint FROM r JOIN s USING (label) WHERE k <= size GROUP BY 1, 2",
 )
 def size_matched(t: Tables):
-    out = sm.size_matched(t.scores(), "year", "label", "row_id", 11)
+    rows = t.scores().select("year", "label", "row_id")
+    out = sm.size_matched(rows, "year", "label", "row_id", 11)
     return out.groupBy("year", "label").agg(
         F.count("*").alias("n"), F.sum(F.col("row_id") % 1000).alias("fingerprint")
     )

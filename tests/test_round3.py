@@ -133,3 +133,20 @@ def test_rows_without_an_event_go_round_the_join_with_hours(spark):
     # without an event they had one key, and met in one task
     assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_class_sizes_do_not_move_the_rows(spark):
+    from gridrisk.operators import sampling
+
+    rng = random.Random(7)
+    rows = [(k, rng.randrange(3), rng.choice("aab")) for k in range(300)]
+    df = spark.createDataFrame(rows, "row_id int, year int, label string")
+    size = {b: min(sum(r[1:] == (y, b) for r in rows) for y in range(3)) for b in "ab"}
+    out = sampling.size_matched(df, "year", "label", "row_id", 11).groupBy("year", "label").count().collect()
+    assert {(r.year, r.label): r["count"] for r in out} == {(y, b): size[b] for y in range(3) for b in "ab"}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in sampling.with_sizes(df, "year", "label")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

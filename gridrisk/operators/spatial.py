@@ -7,8 +7,10 @@ the exact test. Buckets only ever propose candidates; none of them is capped.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ from gridrisk.operators import overlay
 from gridrisk.operators.grid import GridSpec
 from gridrisk.session import cut_lineage
 
+#: Columns of a row of cells that are one number while cells are merged.
+BLOCK_COLS = 64
+#: Cells that a task measures at once.
+CANDIDATES = 1 << 18
+
+
 def cell_edges(polygons: DataFrame, spec: GridSpec, sides: str = "sides") -> DataFrame:
     """(geom_id, x1 ... y2, u1 ... v2, weight): edges one by one, their ends also in cells east and south."""
     lined = polygons.select("geom_id", F.inline(sides))
@@ -44,21 +52,80 @@ def _met_cells(polygons: DataFrame, spec: GridSpec, sides: str) -> DataFrame:
     return found.withColumn("cell_id", F.col("row").cast("bigint") * spec.n_cols + F.col("col"))
 
 
-def _edge_near_box(x0: Column, y0: Column, x1: Column, y1: Column, radius: float) -> Column:
-    """Whether an edge comes nearer than the radius to a box: one of its ends, or a corner to it.
+def _near_cells(edges: DataFrame, spec: GridSpec, radius: float) -> DataFrame:
+    """(geom_id, row, block, mask, low, high): cells nearer than the radius to an edge, as bits of a block of columns.
 
-    An edge that crosses the box without that is told by its crossing.
+    An edge proposes, row by row, the cells within the radius of the part of it that is within the
+    radius of the row; `low` and `high` are the first and last column of the bits. A cell is near
+    if an end of the edge is near its box, or a corner of the box that lies beside the edge, since
+    elsewhere an end is as near; an edge that crosses the box without that is told by its crossing.
     """
-    near = F.lit(False)
-    for px, py in ((F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))):
-        dx = F.greatest(x0 - px, F.lit(0.0), px - x1)
-        dy = F.greatest(y0 - py, F.lit(0.0), py - y1)
-        near = near | (dx * dx + dy * dy < radius * radius)
-    for x in (x0, x1):
-        for y in (y0, y1):
-            gap = geo.point_segment_distance(x, y, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-            near = near | (gap < radius)
-    return near
+    n_rows, n_cols, size = spec.n_rows, spec.n_cols, float(spec.resolution)
+    left, top, reach, r = float(spec.xmin), float(spec.ymax), radius * (1 - 1e-12), radius / size
+
+    def expanded(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place, number from first to last there) in order, at most some CANDIDATES at once or one place's."""
+        n = np.maximum(last - first + 1, 0)
+        upto = np.cumsum(n)
+        a = 0
+        while a < len(n):
+            done = int(upto[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(upto, done + CANDIDATES, "right")))
+            place = np.repeat(np.arange(a, b), n[a:b])
+            yield place, first[place] + np.arange(len(place)) - (upto[place] - n[place] - done)
+            a = b
+
+    def held(index: np.ndarray, last: int) -> np.ndarray:
+        return np.clip(np.floor(index), -1, last + 1).astype(np.int64)
+
+    def close(x1, y1, x2, y2, row, col) -> np.ndarray:
+        """Whether each edge is near its box."""
+        x0, y0 = left + col * size, top - (row + 1) * size
+        near = np.zeros(len(row), bool)
+        for px, py in ((x1, y1), (x2, y2)):
+            dx = np.maximum(np.maximum(x0 - px, 0.0), px - (x0 + size))
+            dy = np.maximum(np.maximum(y0 - py, 0.0), py - (y0 + size))
+            near |= dx * dx + dy * dy < reach * reach
+        ex, ey = x2 - x1, y2 - y1
+        length = ex * ex + ey * ey
+        for x in (x0, x0 + size):
+            for y in (y0, y0 + size):
+                along, across = (x - x1) * ex + (y - y1) * ey, (x - x1) * ey - (y - y1) * ex
+                near |= (along > 0) & (along < length) & (across * across < reach * reach * length)
+        return near
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("x1", "y1", "x2", "y2", "u1", "v1", "u2", "v2")
+        for batch in batches:
+            values = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(float) for c in names])
+            real = np.flatnonzero(np.isfinite(values).all(axis=0))
+            values = values[:, real]
+            v1, v2 = values[5], values[7]
+            north = np.maximum(held(np.minimum(v1, v2) - r, n_rows - 1), 0)
+            south = np.minimum(held(np.maximum(v1, v2) + r, n_rows - 1), n_rows - 1)
+            for edge, row in expanded(north, south):
+                u1, v1, u2, v2 = values[4:, edge]
+                level = v1 == v2
+                slope = (u2 - u1) / np.where(level, 1.0, v2 - v1)
+                # where the edge is at the nearest height that the band and the edge share
+                a, b = (np.where(level, u, u1 + (np.clip(v, row - r, row + 1 + r) - v1) * slope) for u, v in ((u1, v1), (u2, v2)))
+                west = np.maximum(held(np.minimum(a, b) - r, n_cols - 1), 0)
+                east = np.minimum(held(np.maximum(a, b) + r, n_cols - 1), n_cols - 1)
+                for at, col in expanded(west, east):
+                    hit = close(*values[:4, edge[at]], row[at], col)
+                    at, col = at[hit], col[hit]
+                    if not len(at):
+                        continue
+                    block = col // BLOCK_COLS
+                    heads = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (block[1:] != block[:-1])))
+                    bits = np.left_shift(np.uint64(1), (col % BLOCK_COLS).astype(np.uint64))
+                    mask = np.bitwise_or.reduceat(bits, heads).view(np.int64)
+                    high = col[np.append(heads[1:], len(col)) - 1]
+                    geom = batch.column(batch.schema.get_field_index("geom_id")).take(pa.array(real[edge[at[heads]]]))
+                    yield pa.RecordBatch.from_arrays([geom, *(pa.array(x) for x in (row[at[heads]], block[heads], mask, col[heads], high))], names=["geom_id", "row", "block", "mask", "low", "high"])
+
+    kind = edges.schema["geom_id"].dataType.simpleString()
+    return edges.select("geom_id", "x1", "y1", "x2", "y2", "u1", "v1", "u2", "v2").mapInArrow(near, f"geom_id {kind}, row bigint, block bigint, mask bigint, low bigint, high bigint")
 
 
 def buffered_cells(
@@ -67,45 +134,22 @@ def buffered_cells(
     """(geom_id, cell_id) of every cell the polygon grown by `radius` overlaps.
 
     The grown polygon is never built: a cell overlaps it when it overlaps the polygon or lies
-    nearer than the radius to an edge. An edge proposes, row by row, the cells within the radius
-    of the part of it that is within the radius of the row.
+    nearer than the radius to an edge. Cells of a row are bits of blocks of columns, which fall
+    together before they are shuffled.
     """
     # an edge that enters a cell is no distance away, wherever its ends are
     met = _met_cells(polygons, spec, sides).where((F.abs("share") > overlay.TOLERANCE) | (F.col("crossed") & F.lit(radius > 0)))
-    r = F.lit(float(radius) / spec.resolution)
-    u1, v1, u2, v2 = (F.col(c) for c in ("u1", "v1", "u2", "v2"))
-
-    def held(index: Column, last: int) -> Column:
-        return F.least(F.greatest(index, F.lit(-1)), F.lit(last + 1))
-
+    row, col = F.col("row").cast("bigint"), F.col("col").cast("bigint")
+    block = F.floor(col / BLOCK_COLS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(col, F.lit(BLOCK_COLS)).cast("int"))
+    met = met.select("geom_id", row.alias("row"), block.alias("block"), bit.alias("mask"), col.alias("low"), col.alias("high"))
     tasks = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cell_edges(polygons, spec, sides).repartition(tasks, "geom_id", "x1", "y1")
-    rows = dealt.withColumns(
-        {
-            "_n": F.greatest(held(F.floor(F.least(v1, v2) - r), spec.n_rows - 1), F.lit(0)),
-            "_s": F.least(held(F.floor(F.greatest(v1, v2) + r), spec.n_rows - 1), F.lit(spec.n_rows - 1)),
-        }
-    ).where("_n <= _s")
-    rows = rows.withColumn("_row", F.explode(F.sequence("_n", "_s")))
-    low, high = F.col("_row") - r, F.col("_row") + 1 + r
-
-    def near(v: Column) -> Column:
-        """Where the edge is at the nearest height to v that the band and the edge share."""
-        height = F.least(F.greatest(v, low), high)
-        return F.when(v1 == v2, F.when(v == v1, u1).otherwise(u2)).otherwise(u1 + (height - v1) * (u2 - u1) / (v2 - v1))
-
-    rows = rows.withColumns({"_a": F.when(v1 == v2, u1).otherwise(near(v1)), "_b": F.when(v1 == v2, u2).otherwise(near(v2))})
-    rows = rows.withColumns(
-        {
-            "_w": F.greatest(held(F.floor(F.least("_a", "_b") - r), spec.n_cols - 1), F.lit(0)),
-            "_e": F.least(held(F.floor(F.greatest("_a", "_b") + r), spec.n_cols - 1), F.lit(spec.n_cols - 1)),
-        }
-    ).where("_w <= _e")
-    cells = rows.withColumn("_col", F.explode(F.sequence("_w", "_e")))
-    near_box = _edge_near_box(*spec.box(F.col("_col"), F.col("_row")), radius * (1 - 1e-12))
-    cell = F.col("_row").cast("bigint") * spec.n_cols + F.col("_col")
-    close = cells.where(near_box).select("geom_id", cell.alias("cell_id"))
-    return met.select("geom_id", "cell_id").unionByName(close).distinct()
+    both = met.unionByName(_near_cells(dealt, spec, float(radius)))
+    runs = both.groupBy("geom_id", "row", "block").agg(F.bit_or("mask").alias("mask"), F.min("low").alias("low"), F.max("high").alias("high"))
+    listed = runs.withColumn("col", F.explode(F.sequence("low", "high")))
+    held = listed.where(F.getbit("mask", (F.col("col") - F.col("block") * BLOCK_COLS).cast("int")) == 1)
+    return held.select("geom_id", (F.col("row") * spec.n_cols + F.col("col")).alias("cell_id"))
 
 
 def area_shares(

@@ -150,3 +150,27 @@ def test_class_sizes_do_not_move_the_rows(spark):
         assert "BroadcastHashJoin" in sampling.with_sizes(df, "year", "label")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_cells_of_a_row_merge_as_bits(spark):
+    """Wider than a block of columns, with cells that several edges and the area itself name."""
+    from gridrisk.functions import geometry as geo
+    from gridrisk.operators import spatial
+    from gridrisk.operators.grid import GridSpec
+
+    spec = GridSpec(0.0, 1000.0, 150, 10, 100)
+    rng = random.Random(9)
+    boxes = [(k, rng.uniform(-300, 12000), rng.uniform(-200, 900), rng.uniform(1, 9000), rng.uniform(1, 400)) for k in range(40)]
+    rows = [(k, [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]) for k, x, y, w, h in boxes]
+    shapes = spark.createDataFrame(rows, "geom_id int, ring array<struct<x: double, y: double>>").select("geom_id", geo.edges(F.col("ring")).alias("sides"))
+    out = spatial.buffered_cells(shapes, spec, 130.0)
+    want = set()
+    for k, x, y, w, h in boxes:
+        for cell in range(1500):
+            x0, y0 = cell % 150 * 100.0, 900.0 - cell // 150 * 100.0
+            dx, dy = max(x0 - x - w, 0, x - x0 - 100), max(y0 - y - h, 0, y - y0 - 100)
+            if dx * dx + dy * dy < 130.0**2:
+                want.add((k, cell))
+    got = [(r.geom_id, r.cell_id) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "bit_or" in out._jdf.queryExecution().optimizedPlan().toString()

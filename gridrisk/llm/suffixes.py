@@ -27,7 +27,8 @@ GRAM = 32
 SYMBOLS = 4  # of a window
 PLACE_BITS = 27  # texts of up to 128 MB
 MERGED_BYTES = 2 << 20  # fragments merged at once
-CROWDED = 2000  # different fragments of a gram, beyond which its windows are dealt out by their own hash
+CROWDED = 2000  # different fragments of a gram, beyond which they are dealt out by more than the gram
+SPLIT = 4  # parts of the windows of such a fragment, and of each part again
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -160,14 +161,61 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _spans(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of a fragment, with the hash of its bytes."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A fragment's windows in up to `SPLIT` parts, by the places of the gram in them.
+
+    `lo` to `hi` are the places, `at` is that of the gram in the fragment, -1 before the first
+    split. `core` is the hash of the bytes that all windows of a part have in common, which equal
+    windows of other fragments have too, and `whole` that of all bytes of the part.
+    """
     for batch in batches:
-        for k in range(len(batch)):
-            data = np.frombuffer(column(batch, "bytes")[k].as_py(), np.uint8)
-            at = np.arange(len(data) - LENGTH + 1)
-            one = pa.array(np.full(len(at), k))
-            yield pa.RecordBatch.from_arrays([pa.array(Hasher(data).ranges(at, at + LENGTH).view(np.int64)), column(batch, "n").take(one), column(batch, "key").take(one), column(batch, "tkey").take(one), pa.array(at + column(batch, "first")[k].as_py())], names=["window", "n", "key", "tkey", "start"])
+        of, held, raws = [], [[], [], [], [], [], [], []], []
+        for k, row in enumerate(batch.select(["gram", "first", "size", "at", "lo", "hi", "bytes"]).to_pylist()):
+            data, at, lo, hi = np.frombuffer(row["bytes"], np.uint8), row["at"], row["lo"], row["hi"]
+            hasher = Hasher(data)
+            if at < 0:
+                begin = np.arange(len(data) - GRAM + 1)
+                at = int(np.argmax(hasher.ranges(begin, begin + GRAM).view(np.int64) == row["gram"]))
+            step = -(-(hi - lo + 1) // SPLIT)
+            low = np.arange(lo, hi + 1, step)
+            high = np.minimum(low + step - 1, hi)
+            first, last = np.maximum(0, at - high), np.minimum(row["size"] - 1, at - low)
+            some = first <= last
+            low, high, first, last = low[some], high[some], first[some], last[some]
+            core, whole = hasher.ranges(at - low, at - high + LENGTH).view(np.int64), hasher.ranges(first, last + LENGTH).view(np.int64)
+            of += [k] * len(low)
+            for values, x in zip(held, (core, whole, row["first"] + first, last - first + 1, at - first, low, high), strict=True):
+                values += x.tolist()
+            raws += [row["bytes"][a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        one = pa.array(of, pa.int64())
+        own = [column(batch, n).take(one) for n in ("n", "key", "tkey")]
+        yield pa.RecordBatch.from_arrays([*own, *[pa.array(x, pa.int64()) for x in held], pa.array(raws, pa.binary())], names=["n", "key", "tkey", "core", "whole", "first", "size", "at", "lo", "hi", "bytes"])
+
+
+def dealt_out(crowd: DataFrame, crowded: int, kind: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """(spans, fragments to merge) of the fragments of grams in very many different surroundings.
+
+    The windows of a fragment are split by the place of the gram in them, and parts are brought
+    together by the bytes that all their windows have in common. A part that no other has the core
+    of is done, equal parts are settled by counting, those of a core with no more than `crowded`
+    different parts go to the merge, with the core for their gram, and the others are split again.
+    A window alone is its own core, so rounds end after the fourth.
+    """
+    spans = merges = None
+    live = crowd.select("gram", "n", "key", "tkey", "first", "size", "bytes", F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("lo"), F.lit(LENGTH - GRAM).cast("long").alias("hi"))
+    while live.limit(1).count():
+        parts = cut_lineage(live.mapInArrow(_parts, f"n bigint, key {kind}, tkey bigint, core bigint, whole bigint, first bigint, size bigint, at bigint, lo bigint, hi bigint, bytes binary"), "suffix-parts")
+        kinds = parts.groupBy("core", "lo", "hi", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("key", "tkey", "first", "size", "at", "bytes")).alias("one"))
+        kinds = cut_lineage(kinds, "suffix-part-kinds")
+        equal = parts.where("n = 1").join(kinds.where("n > 1").select("core", "lo", "hi", "whole"), ["core", "lo", "hi", "whole"], "left_semi").select("key", "tkey", "first", "size")
+        spans = equal if spans is None else spans.unionByName(equal)
+        crowds = kinds.groupBy("core", "lo", "hi").agg(F.count("*").alias("crowd")).where("crowd > 1")
+        left = kinds.join(crowds, ["core", "lo", "hi"]).select(F.xxhash64("core", "lo", "hi").alias("gram"), "n", "crowd", "one.*", "lo", "hi")
+        left = cut_lineage(left, "suffix-parts-left")
+        few = left.where(F.col("crowd") <= crowded).select("gram", "n", "first", "size", "key", "tkey", "bytes")
+        merges = few if merges is None else merges.unionByName(few)
+        live = left.where(F.col("crowd") > crowded)
+    return spans, merges
 
 
 def repeated_spans(rows: DataFrame, crowded: int = CROWDED) -> DataFrame:
@@ -193,13 +241,13 @@ def repeated_spans(rows: DataFrame, crowded: int = CROWDED) -> DataFrame:
     own = wanted.join(texts, F.col("key").eqNullSafe(F.col("key2")) & (F.col("tkey") == F.col("tkey2"))).select("key", "tkey", "text", "wanted")
     pieces = cut_lineage(own.mapInArrow(_fragment_bytes, f"gram bigint, n bigint, crowd bigint, first bigint, size bigint, key {kind}, tkey bigint, bytes binary"), "suffix-pieces")
     spans = f"key {kind}, tkey bigint, start bigint, end bigint"
-    merged = pieces.where(F.col("crowd") <= crowded).repartition("gram").sortWithinPartitions("gram").mapInArrow(_merge, spans)
-    # a gram in very many different surroundings is not brought together: its windows are counted where they fall
-    windows = pieces.where(F.col("crowd") > crowded).mapInArrow(_windows, f"window bigint, n bigint, key {kind}, tkey bigint, start bigint")
-    often = windows.groupBy("window").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("window")
-    dealt = windows.where("n = 1").join(often, "window", "left_semi").select("key", "tkey", "start", (F.col("start") + LENGTH).alias("end"))
-    full = whole.select("key", "tkey", "first", "size").unionByName(twice.select("key", "tkey", "first", "size")).select("key", "tkey", F.col("first").alias("start"), (F.col("first") + F.col("size") + LENGTH - 1).alias("end"))
-    return full.unionByName(merged).unionByName(dealt)
+    alone = pieces.where(F.col("crowd") <= crowded).select("gram", "n", "first", "size", "key", "tkey", "bytes")
+    # a gram in very many different surroundings is not brought together
+    equal, few = dealt_out(pieces.where(F.col("crowd") > crowded), crowded, kind)
+    merged = (alone if few is None else alone.unionByName(few)).repartition("gram").sortWithinPartitions("gram").mapInArrow(_merge, spans)
+    settled = whole.select("key", "tkey", "first", "size").unionByName(twice.select("key", "tkey", "first", "size"))
+    full = (settled if equal is None else settled.unionByName(equal)).select("key", "tkey", F.col("first").alias("start"), (F.col("first") + F.col("size") + LENGTH - 1).alias("end"))
+    return full.unionByName(merged)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_bytes: bool = True) -> DataFrame:

@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 from test_operators import reference_classes
 
-from gridrisk.llm import near_duplicates
+from gridrisk.llm import near_duplicates, suffixes
 
 
 def test_unlike_texts_of_a_key_are_not_paired(spark, monkeypatch):
@@ -48,3 +49,38 @@ def test_forest_links_what_is_alike_once():
     assert (near_duplicates.overlaps(seqs, seqs) == want).all()
     twice = [np.array([7, 7, 7, 8], "<u4"), np.array([7, 7, 9], "<u4")]
     assert near_duplicates.overlaps(twice, twice).tolist() == [[4, 2], [2, 3]]
+
+
+def test_a_gram_in_many_surroundings_is_not_dealt_window_by_window(spark):
+    """A line of 120 bytes in 150 texts, and one of 260 in as many: far fewer parts than windows are made."""
+    rng = np.random.default_rng(7)
+
+    def letters(n):
+        return "".join(chr(97 + k) for k in rng.integers(0, 26, n))
+
+    line, long = letters(120), letters(260)
+    texts = [letters(150) + (line, long)[k % 2] + letters(150) for k in range(300)]
+    texts += [texts[10][40:] + letters(30), letters(20) + texts[11][:330]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    staged, whole = {}, suffixes.cut_lineage
+
+    def cut(df, name="stage"):
+        out = whole(df, name)
+        staged[name] = staged.get(name, 0) + out.count()
+        if name == "suffix-pieces":
+            staged["windows"] = out.where("crowd > 20").agg({"size": "sum"}).first()[0]
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(suffixes, "cut_lineage", cut)
+        repeats = suffixes.repeated_spans
+        patch.setattr(suffixes, "repeated_spans", lambda rows: repeats(rows, 20))
+        got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.digest(frame).collect()}
+    seen = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    for k, text in enumerate(texts):
+        covered = np.zeros(len(text) + 2, int)
+        for at in range(len(text) - 199):
+            if seen[text[at : at + 200]] > 1:
+                covered[at + 1 : at + 201] = 1
+        assert got[k] == (covered.sum(), (np.diff(covered) == 1).sum())
+    assert 0 < 4 * staged["suffix-parts"] <= staged["windows"]

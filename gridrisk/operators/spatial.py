@@ -287,6 +287,20 @@ def _piece_distance(x: str, y: str) -> Column:
 PIECES_OF_BOX = 64
 #: How often a square of one bucket is halved, for points and for pieces.
 HALVINGS = 7
+#: Rows of a staged table of keys up to which it is sent to every executor.
+SENT_ROWS = 1 << 14
+
+
+def _merged(df: DataFrame) -> DataFrame:
+    """For joins with staged rows: the planner takes the size of compressed files for theirs.
+
+    Pairs of boxes take a hundredth of their size there, so the driver would gather and send them.
+    """
+    return df.hint("merge")
+
+
+def _sent_if_few(staged: DataFrame) -> DataFrame:
+    return F.broadcast(staged) if staged.count() <= SENT_ROWS else _merged(staged)
 
 
 def nearest_distance(
@@ -320,22 +334,24 @@ def nearest_distance(
         crowded = pairs.groupBy(*box).agg(F.count("*").alias("_n")).where(F.col("_n") > PIECES_OF_BOX)
         crowded = cut_lineage(crowded.select(*box), "crowded-boxes")
         last = halved == HALVINGS or crowded.isEmpty()
+        # only the first round has all points
+        crowded = _merged(crowded) if halved else _sent_if_few(crowded)
         done = pairs if last else pairs.join(crowded, box, "left_anti")
-        measured = placed.join(done, box).groupBy(*keys).agg(F.min(_piece_distance("_px", "_py")).alias("_d"))
+        measured = placed.join(_merged(done), box).groupBy(*keys).agg(F.min(_piece_distance("_px", "_py")).alias("_d"))
         found.append(cut_lineage(measured, "nearest"))
         if last:
             break
         place = cut_lineage(placed.join(crowded, box, "left_semi").drop("_gx", "_gy"), "places")
         quarters = _boxed(place, bucket / 2 ** (halved + 1)).select(*box).distinct()
         parents = quarters.select(*by, F.col("_gx").alias("_cx"), F.col("_gy").alias("_cy"), F.floor(F.col("_gx") / 2).alias("_gx"), F.floor(F.col("_gy") / 2).alias("_gy"))
-        inner = parents.join(pairs, box).drop("_gx", "_gy").withColumnsRenamed({"_cx": "_gx", "_cy": "_gy"})
+        inner = _merged(parents).join(_merged(pairs), box).drop("_gx", "_gy").withColumnsRenamed({"_cx": "_gx", "_cy": "_gy"})
         pairs = _nearer_pieces(inner, bucket / 2 ** (halved + 1), box)
     if not found:
         return points.withColumn(out, F.lit(None).cast("double"))
     best = found[0]
     for more in found[1:]:
         best = best.unionByName(more)
-    return points.join(best.withColumnRenamed("_d", out), keys, "left")
+    return points.join(_merged(best.withColumnRenamed("_d", out)), keys, "left")
 
 
 def _boxed(place: DataFrame, size: float) -> DataFrame:
@@ -374,12 +390,15 @@ def _pieces_of_boxes(place: DataFrame, pieces: DataFrame, bucket: float, by: lis
     low = {"_lx": F.least("x1", "x2"), "_ly": F.least("y1", "y2"), "_hx": F.greatest("x1", "x2"), "_hy": F.greatest("y1", "y2")}
 
     def tree(level: int) -> DataFrame:
-        """A row a box of pieces: their extent and one place on them."""
+        """A row a box of pieces: their extent and the ends of theirs that lie furthest to each side.
+
+        A remote box sees the side that faces it, so one of these ends is about as near as the box is.
+        """
         size = F.lit(bucket * 2.0**level)
-        rows = pieces.select(*by, F.floor(x / size).alias("_qx"), F.floor(y / size).alias("_qy"), F.col("x1").alias("_rx"), F.col("y1").alias("_ry"), *(c.alias(n) for n, c in low.items()))
-        return rows.groupBy(*by, "_qx", "_qy").agg(
-            *(F.min(n).alias(n) for n in ("_lx", "_ly")), *(F.max(n).alias(n) for n in ("_hx", "_hy")), F.min(F.struct("_rx", "_ry")).alias("_r")
-        )
+        ends = [[F.struct(*(F.col(f"{c}{k}").alias(f"_r{c}") for c in order)) for k in (1, 2)] for order in ("xy", "yx")]
+        outer = {f"_{side}{i}": pick(*both) for i, both in enumerate(ends) for side, pick in (("l", F.least), ("h", F.greatest))}
+        rows = pieces.select(*by, F.floor(x / size).alias("_qx"), F.floor(y / size).alias("_qy"), *(c.alias(n) for n, c in (low | outer).items()))
+        return rows.groupBy(*by, "_qx", "_qy").agg(*((F.min if n.startswith("_l") else F.max)(n).alias(n) for n in (*low, *outer)))
 
     widest = max(ends["x1"] - ends["x0"], ends["y1"] - ends["y0"], 1)
     top = math.ceil(math.log2(widest + 1))
@@ -394,30 +413,30 @@ def _pieces_of_boxes(place: DataFrame, pieces: DataFrame, bucket: float, by: lis
         there = tree(level)
         if open_ is None:
             # two by two boxes of pieces at most
-            met = boxes.join(there, by) if by else boxes.crossJoin(there)
+            met = boxes.join(_merged(there), by) if by else boxes.crossJoin(F.broadcast(there))
         else:
             child = F.array(*(F.struct((F.col("_qx") * 2 + i).alias("_u"), (F.col("_qy") * 2 + j).alias("_v")) for i in (0, 1) for j in (0, 1)))
             down = open_.select(*by, "_gx", "_gy", F.inline(child)).withColumnsRenamed({"_u": "_qx", "_v": "_qy"})
             if level >= 0:
                 parents = boxes.select(*by, F.col("_gx").alias("_cx"), F.col("_gy").alias("_cy"), F.floor(F.col("_gx") / 2).alias("_gx"), F.floor(F.col("_gy") / 2).alias("_gy"))
-                down = parents.join(down, [*by, "_gx", "_gy"]).drop("_gx", "_gy").withColumnsRenamed({"_cx": "_gx", "_cy": "_gy"})
-            met = down.join(there, [*by, "_qx", "_qy"])
+                down = _merged(parents).join(_merged(down), [*by, "_gx", "_gy"]).drop("_gx", "_gy").withColumnsRenamed({"_cx": "_gx", "_cy": "_gy"})
+            met = _merged(down).join(_merged(there), [*by, "_qx", "_qy"])
         cx, cy = _middle(size)
         reach = size * math.sqrt(0.5)
         gap = F.hypot(F.greatest(F.col("_lx") - cx, F.lit(0.0), cx - F.col("_hx")), F.greatest(F.col("_ly") - cy, F.lit(0.0), cy - F.col("_hy")))
-        own = F.hypot(F.col("_r._rx") - cx, F.col("_r._ry") - cy)
+        outer = [(F.col(f"{n}._rx"), F.col(f"{n}._ry")) for n in ("_l0", "_h0", "_l1", "_h1")]
+        nearest = F.least(*(F.struct(F.hypot(rx - cx, ry - cy).alias("_own"), rx.alias("_rx"), ry.alias("_ry")) for rx, ry in outer))
         box = [*by, "_gx", "_gy"]
-        met = met.withColumns({"_gap": gap, "_own": own})
+        met = met.select(*box, "_qx", "_qy", *low, gap.alias("_gap"), nearest.alias("_nearest"))
         # a box keeps boxes along one side of the region, so the window of a box is small
-        best = F.min(F.struct("_own", "_r")).over(Window.partitionBy(*box))
-        met = met.withColumn("_best", best)
-        rx, ry = F.col("_best._r._rx"), F.col("_best._r._ry")
+        met = met.withColumn("_best", F.min("_nearest").over(Window.partitionBy(*box)))
+        rx, ry = F.col("_best._rx"), F.col("_best._ry")
         far = F.hypot(F.greatest(F.abs(F.col("_lx") - rx), F.abs(F.col("_hx") - rx)), F.greatest(F.abs(F.col("_ly") - ry), F.abs(F.col("_hy") - ry)))
         kept = met.where(_may_be_nearest(F.col("_gap"), F.col("_best._own"), far, reach))
         open_ = cut_lineage(kept.select(*box, "_qx", "_qy"), "open-boxes")
     size = F.lit(bucket * 2.0**least)
     placed = pieces.select(*by, F.floor(x / size).alias("_qx"), F.floor(y / size).alias("_qy"), "x1", "y1", "x2", "y2")
-    return _nearer_pieces(open_.join(placed, [*by, "_qx", "_qy"]).drop("_qx", "_qy"), bucket, [*by, "_gx", "_gy"])
+    return _nearer_pieces(_merged(open_).join(_merged(placed), [*by, "_qx", "_qy"]).drop("_qx", "_qy"), bucket, [*by, "_gx", "_gy"])
 
 
 def _nearer_pieces(pairs: DataFrame, size: float, box: list[str]) -> DataFrame:
@@ -430,7 +449,7 @@ def _nearer_pieces(pairs: DataFrame, size: float, box: list[str]) -> DataFrame:
     met = met.withColumn("_gap", F.hypot(F.col("_fx") - cx, F.col("_fy") - cy))
     met = cut_lineage(met, "met-pieces")
     best = met.groupBy(*box).agg(F.min(F.struct("_gap", "_fx", "_fy")).alias("_best"))
-    known = met.join(best, box)
+    known = _merged(met).join(_merged(best), box)
     rx, ry, own = F.col("_best._fx"), F.col("_best._fy"), F.col("_best._gap")
     far = F.greatest(*(F.hypot(F.col(f"x{k}") - rx, F.col(f"y{k}") - ry) for k in (1, 2)))
     kept = known.where(_may_be_nearest(F.col("_gap"), own, far, size * math.sqrt(0.5)))
